@@ -65,22 +65,35 @@ class Index:
         w = np.array([1 + math.log(counts[i]) for i in at.tolist()]) * self.idf[at]
         return at, w / (np.linalg.norm(w) or 1.0)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, ties by place."""
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1, first: int = 4) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above 0, ties by place: the `first` blocks of largest bound give the cosine
+        that others must be able to reach, and of these all that can are added up."""
         bounds = w @ self.tops[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            low, high = b * self.block, (b + 1) * self.block
-            sums = np.zeros(self.block)
-            for t, x in zip(at, w, strict=True):
-                place, weight = self.postings[t]
-                i, j = np.searchsorted(place, (low, high))
-                sums[place[i:j] - low] += x * weight[i:j]
-            hit = np.flatnonzero(sums > 0)
-            best = sorted(best + [(-round(float(sums[h]), 12), int(low + h)) for h in hit if low + h != leave])[:k]
-        return [(p, -c) for c, p in best]
+        order = np.argsort(-bounds, kind="stable")
+        best = self._best(at, w, order[:first], k, leave)
+        least = best[-1][1] if len(best) == k else 0.0
+        rest = order[first:]
+        rest = rest[(bounds[rest] > 0) & (bounds[rest] >= least - 1e-9)]
+        if len(rest):
+            best = sorted(best + self._best(at, w, rest, k, leave), key=lambda x: (-x[1], x[0]))[:k]
+        return best
+
+    def _best(self, at: np.ndarray, w: np.ndarray, chosen: np.ndarray, k: int, leave: int) -> list[tuple[int, float]]:
+        inside = np.zeros(self.tops.shape[1], bool)
+        inside[chosen] = True
+        sums = np.zeros(len(self.ids))
+        for t, x in zip(at.tolist(), w.tolist(), strict=True):
+            place, weight = self.postings[t]
+            held = inside[place // self.block]
+            sums[place[held]] += x * weight[held]
+        if leave >= 0:
+            sums[leave] = 0.0
+        hit = np.flatnonzero(sums > 0)
+        cosine = np.round(sums[hit], 12)
+        if len(hit) > k:
+            near = cosine >= np.partition(cosine, len(hit) - k)[len(hit) - k]
+            hit, cosine = hit[near], cosine[near]
+        return sorted(zip(hit.tolist(), cosine.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         if not near:
