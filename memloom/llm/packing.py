@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Words that a worker keeps at most.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict = {}
 
@@ -55,15 +55,29 @@ def _ids(texts: list[bytes], path: str) -> list[bytes]:
     if len(known) > KNOWN_WORDS:
         known.clear()
     split = [t.split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
+    new = set().union(*split).difference(known) if split else set()
+    # Letters and the comma or stop after them are tokens of their own, so a word shares its ids in all its forms.
+    whole = {w: _parts(w) for w in new}
+    stems = list({p for parts in whole.values() for p in parts}.difference(known))
+    for i in range(0, len(stems), 20_000):
+        some = stems[i : i + 20_000]
         for w, e in zip(some, _tokenizers[path].encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
+    for w, parts in whole.items():
+        if len(parts) > 1 or parts[0] is not w:
+            known[w] = b"".join([known[p] for p in parts])
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """The word cut where the tokenizer cuts it in any case: letters, then a final comma or full stop."""
+    last = word[-1:]
+    if last in (b",", b".") and (stem := word[:-1].decode()).isalpha() and max(stem) < "\u0250":
+        return (word[:-1].lower(), last)
+    return (word.lower(),) if word.isalpha() else (word,)
+
+
 def pieces(df: DataFrame, tokenizer: str, end_id: int = 1, max_tokens: int = 4096, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     kind = df.schema[doc_id].dataType.simpleString()
