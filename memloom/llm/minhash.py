@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +30,7 @@ from .common import cut
 from .components import components
 
 BANDS, ROWS, CIRCLE, SEED = 40, 6, 1 << 20, 20_240
-BLOCK = 128
+BLOCK = 512
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -107,7 +106,7 @@ def _sets(df: DataFrame, n: int, width: int) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 own = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                sigs = [signature(m, width).tobytes() if len(m) else b"" for m in own]
+                sigs = [signature(m, width).astype(np.uint8).tobytes() for m in own]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.view(np.int64) for m in own], pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "marks", "sig"])
 
     return df.mapInArrow(run, f"doc_id {kind}, marks array<long>, sig binary")
@@ -121,34 +120,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", both.alias("i"), (F.size("a_marks") + F.size("b_marks") - both).alias("u")).filter(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
+def _need(width: int, percent: int) -> int:
+    """Coordinates that agree at least, if the similarity reaches the threshold."""
+    p = percent / 100
+    return int(max(0.0, p - 6 * (p * (1 - p) / width) ** 0.5) * width)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough coordinates."""
+    kind, need = pairs.schema["a"].dataType.simpleString(), _need(width, percent)
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (_grid(b.column(i), width) for i in (2, 3))
+            near = pa.array((x == y).sum(axis=1) >= need)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_sig", "b_sig").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _grid(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
 def _close(rows: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Pairs of members of one bucket, from different components, whose signatures nearly agree.
 
-    rows: bucket, n (its members), node, root, sig. Members are dealt into blocks; a task sees two blocks of a bucket.
+    rows: bucket, node, root, sig. Members outside the bucket's largest component ask, all members answer; both are dealt
+    into blocks, so that a run of equal (bucket, answer, ask) holds two blocks at most.
     """
-    kind = rows.schema["node"].dataType.simpleString()
-    need = max(0.0, percent / 100 - 9 * (percent / 100 * (1 - percent / 100) / width) ** 0.5)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "sig")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-        node, own = pdf["node"].to_numpy(), pdf["own"].to_numpy()
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found: list[tuple[int, int]] = []
-        for i in left:
-            others = right[(root[right] != root[i]) & ((right > i) | (low != high))]
-            if len(others):
-                alike = (sig[others] == sig[i]).mean(axis=1)
-                found += [(i, j) for j in others[alike >= need]]
-        at = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": node[at[:, 0]], "b": node[at[:, 1]]})
-
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    kind, need = rows.schema["node"].dataType.simpleString(), _need(width, percent)
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    leads = counts.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("lead"), F.sum("k").alias("n"), F.max("k").alias("most"))
+    all_rows = rows.join(leads, "bucket").withColumn("answers", F.ceil(F.col("n") / block).cast("int")).withColumn("asks", F.ceil((F.col("n") - F.col("most")) / block).cast("int"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = all_rows.filter("root != lead").select("bucket", every(F.col("answers")).alias("answer"), deal(F.col("asks")).alias("ask"), F.lit(True).alias("asks"), "node", "root", "sig")
+    answering = all_rows.select("bucket", deal(F.col("answers")).alias("answer"), every(F.col("asks")).alias("ask"), F.lit(False).alias("asks"), "node", "root", "sig")
+    keys = ["bucket", "answer", "ask"]
+    dealt = asking.unionByName(answering).repartition(*keys).sortWithinPartitions(*keys)
+
+    def pairs(asks: np.ndarray, node: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
+        to = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
+            others = to[root[to] != root[i]]
+            found = others[(sig[others] == sig[i]).sum(axis=1) >= need]
+            if len(found):
+                yield np.stack([np.maximum(node[found], node[i]), np.minimum(node[found], node[i])], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            now = [key, np.array(b.column(3).to_pylist(), bool), b.column(4).to_numpy(), b.column(5).to_numpy(), _grid(b.column(6), width)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.flatnonzero((now[0][1:] != now[0][:-1]).any(axis=1)) + 1
+            starts = [0, *cuts.tolist()]
+            # The last run may go on in the next batch.
+            yield out([p for i, j in zip(starts, cuts.tolist(), strict=False) for p in pairs(*(x[i:j] for x in now[1:]))])
+            held = [x[starts[-1] :] for x in now]
+        if held is not None:
+            yield out(list(pairs(*held[1:])))
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,13 +207,13 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, bands: int = B
     if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # else there is nothing to drop
         texts = texts.dropDuplicates(["doc_id", "text"])
     sets = cut(_sets(texts, n, bands * rows))
-    linked = cut(_verified(stars, sets, percent))
+    linked = cut(_verified(cut(_alike(stars, sets, bands * rows, percent)), sets, percent))
     roots = components(linked)
     # Second round: buckets that hold members of several components.
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     rest = named.join(split, "bucket", "left_semi").join(sets.select(F.col("doc_id").alias("node"), "sig"), "node")
-    more = cut(_close(rest.select("bucket", "n", "node", "root", "sig"), bands * rows, percent, block).join(stars, ["a", "b"], "left_anti"))
+    more = cut(_close(rest.select("bucket", "node", "root", "sig"), bands * rows, percent, block).join(stars, ["a", "b"], "left_anti"))
     # An id that occurs with several texts is one node.
     several = known.groupBy("doc_id").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low < high").select("doc_id")
     twice = known.join(several, "doc_id", "left_semi").join(classes.select("class_key", "rep"), "class_key").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
