@@ -3,7 +3,7 @@
 `write` makes one record per capture. Of captures with equal payloads of at least `revisit_from` bytes, the one with the
 largest id holds the payload, the others are revisit records that refer to it; smaller payloads are always stored. Spark's
 text writer puts the records down, the end of a record being its line separator, so files are plain WARC/1.1 in any
-file system that Spark writes to. `read` parses archives record by record by Content-Length.
+file system that Spark writes to, by default gzipped as wholes (offsets count uncompressed bytes). `read` parses archives record by record by Content-Length.
 
 `histories` builds the index: each archive file gives a run of entries sorted by URL key and timestamp; runs are cut at
 common split points, and each slice is merged from all its runs by a loser tree, so tasks hold one slice only and the
@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -71,8 +72,8 @@ def records(df: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     return out.withColumn("refers_to", F.when(F.coalesce(F.col("id") != F.col("holder"), F.col("id").isNull() & F.col("holder").isNotNull()), F.col("holder")))
 
 
-def write(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
-    """rows: of `records`. One WARC record each, in files of about file_bytes."""
+def write(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, compression: str = "gzip") -> str:
+    """rows: of `records`. One WARC record each, in files of about file_bytes before compression."""
     head = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     revisit = F.col("refers_to").isNotNull()
     text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
@@ -92,9 +93,9 @@ def write(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     )
     total = rows.agg(F.sum("bytes"), F.count("*")).first()
-    files = max(1, -(-((total[0] or 0) + 600 * total[1]) // file_bytes))
-    out = rows.select(record.alias("value"), F.xxhash64("url", "id").alias("k")).repartition(int(files), "k").select("value")
-    out.write.option("lineSep", CRLF * 2).text(path)
+    each = max(1, file_bytes * max(1, total[1]) // max(1, (total[0] or 0) + 600 * total[1]))
+    # The join on the digest has dealt the rows evenly; a second shuffle of all payloads would gain nothing.
+    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", each).text(path)
     return path
 
 
@@ -124,9 +125,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for file, column in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 some: list[dict] = []
-                for r in parse(raw.as_py(), file.rsplit("/", 1)[-1]):
+                raw = column.as_py()
+                for r in parse(gzip.decompress(raw) if file.endswith(".gz") else raw, file.rsplit("/", 1)[-1]):
                     if not payloads:
                         del r["payload"]
                     some.append(r)
