@@ -6,7 +6,7 @@ buckets. With 40 bands of 6 rows, a pair at the threshold of 0.8 shares no bucke
 
 Texts with one and the same shingle set form a class, and only its smallest id takes part in the search, so exact copies
 cost one row each. Links are found in two rounds. First every member of a bucket is compared with the bucket's least
-member; linked ones are joined to components. Then, in buckets that still hold several components, all pairs of members
+member and, in larger buckets, with the least of a few members drawn by hash; linked ones are joined to components. Then, in buckets that still hold several components, all pairs of members
 from different components are compared, in blocks of bounded size: those whose signatures agree in too few coordinates
 to reach the threshold (by nine standard deviations) are passed over, the others are compared by their full sets. So
 every pair that shares a bucket is either compared or already connected, and no bucket's pairs are written out.
@@ -31,6 +31,8 @@ from .components import components
 
 BANDS, ROWS, CIRCLE, SEED = 40, 6, 1 << 20, 20_240
 BLOCK = 512
+#: Members of a draw in a larger bucket; ids that are broadcast at most, beyond them texts are looked up by a shuffle.
+DRAW, BROADCAST_IDS = 8, 4_000_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -79,37 +81,38 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(df: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class_key (null without shingles), keys of the bands."""
+    """doc_id, n_shingles, class_key (null without shingles), keys of the bands, signature (a byte a coordinate)."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                size, cls, keys = [], [], []
+                size, cls, keys, sigs = [], [], [], []
                 for t in b.column(1).cast(pa.binary()).to_pylist():
                     marks = shingles(t, n)
                     size.append(len(marks))
                     cls.append(xxhash.xxh3_128_digest(marks.tobytes()) if len(marks) else None)
-                    keys.append(band_keys(signature(marks, bands * rows), bands, rows) if len(marks) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class_key", "keys"])
+                    sig = signature(marks, bands * rows) if len(marks) else None
+                    keys.append(band_keys(sig, bands, rows) if sig is not None else np.zeros(0, np.int64))
+                    sigs.append(sig.astype(np.uint8).tobytes() if sig is not None else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "class_key", "keys", "sig"])
 
-    return df.mapInArrow(run, f"doc_id {kind}, n_shingles long, class_key binary, keys array<long>")
+    return df.mapInArrow(run, f"doc_id {kind}, n_shingles long, class_key binary, keys array<long>, sig binary")
 
 
-def _sets(df: DataFrame, n: int, width: int) -> DataFrame:
-    """doc_id, the set as array<long> and the signature as binary."""
+def _sets(df: DataFrame, n: int) -> DataFrame:
+    """doc_id and the set as array<long>."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                own = [shingles(t, n) for t in b.column(1).cast(pa.binary()).to_pylist()]
-                sigs = [signature(m, width).astype(np.uint8).tobytes() for m in own]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.view(np.int64) for m in own], pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "marks", "sig"])
+                own = [shingles(t, n).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "marks"])
 
-    return df.mapInArrow(run, f"doc_id {kind}, marks array<long>, sig binary")
+    return df.mapInArrow(run, f"doc_id {kind}, marks array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,10 +129,10 @@ def _need(width: int, percent: int) -> int:
     return int(max(0.0, p - 6 * (p * (1 - p) / width) ** 0.5) * width)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, signatures: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in enough coordinates."""
     kind, need = pairs.schema["a"].dataType.simpleString(), _need(width, percent)
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "ab")
+    left, right = (signatures.select(F.col("node").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,27 +200,38 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, bands: int = B
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketch = cut(_sketch(docs, n, bands, rows))
     known = sketch.filter(F.col("doc_id").isNotNull() & F.col("class_key").isNotNull())
-    classes = cut(known.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("size")))
+    first = F.min_by(F.struct("keys", "sig"), "doc_id")
+    classes = cut(known.groupBy("class_key").agg(F.min("doc_id").alias("rep"), first.alias("own"), F.count("*").alias("size")).select("class_key", "rep", "own.*", "size"))
+    signatures = classes.select(F.col("rep").alias("node"), "sig")
     exploded = classes.select(F.col("rep").alias("node"), F.explode("keys").alias("bucket"))
     crowded = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = cut(exploded.join(crowded, "bucket"))
-    stars = cut(members.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    if not known.groupBy("doc_id").count().filter("count > 1").isEmpty():  # else there is nothing to drop
-        texts = texts.dropDuplicates(["doc_id", "text"])
-    sets = cut(_sets(texts, n, bands * rows))
-    linked = cut(_verified(cut(_alike(stars, sets, bands * rows, percent)), sets, percent))
+    drawn = members.filter(F.col("n") > DRAW).withColumn("draw", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / DRAW)))
+    centres = drawn.groupBy("bucket", "draw").agg(F.min("node").alias("centre"))
+    stars = members.select("node", "least").unionByName(drawn.join(centres, ["bucket", "draw"]).select("node", F.col("centre").alias("least")))
+    stars = cut(stars.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of all that pairs name, read again from their whole texts."""
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+        if repeated:  # else there is nothing to drop
+            texts = texts.dropDuplicates(["doc_id", "text"])
+        return cut(_sets(texts, n))
+
+    near = cut(_alike(stars, signatures, bands * rows, percent))
+    linked = cut(_verified(near, sets_of(near), percent))
     roots = components(linked)
     # Second round: buckets that hold members of several components.
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    rest = named.join(split, "bucket", "left_semi").join(sets.select(F.col("doc_id").alias("node"), "sig"), "node")
+    rest = named.join(split, "bucket", "left_semi").join(signatures, "node")
     more = cut(_close(rest.select("bucket", "node", "root", "sig"), bands * rows, percent, block).join(stars, ["a", "b"], "left_anti"))
     # An id that occurs with several texts is one node.
     several = known.groupBy("doc_id").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).filter("low < high").select("doc_id")
     twice = known.join(several, "doc_id", "left_semi").join(classes.select("class_key", "rep"), "class_key").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(linked.unionByName(_verified(more, sets, percent)).unionByName(twice))
+    roots = components(linked.unionByName(_verified(more, sets_of(more), percent)).unionByName(twice))
     final = classes.select("class_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("root", "rep").alias("root"))
     out = sketch.join(final, "class_key", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
