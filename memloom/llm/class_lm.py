@@ -158,13 +158,32 @@ def _pairs(texts: DataFrame, items: dict[bytes, int], endings: dict[bytes, int],
     return grid
 
 
+def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most common words of counts and how often they occur: whole levels of counts from the top, `most` words at most.
+
+    A histogram of at most 4,096 levels (64 an octave, so small counts have one each) gives the lowest level first; so what
+    reaches the driver is bounded by `most`, however many partitions counts has.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    total, lowest = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return []
+    return [(bytes(r["word"]), r["n"]) for r in counts.filter(level >= lowest).select("word", "n").collect()]
+
+
 def fit(df: DataFrame, counts: DataFrame, text: str = "text", frequent: int = 800, endings: int = 600, n_classes: int = 40, local: int = 200_000, pull: float = 20.0) -> Model:
     """df: the training texts; counts: of count_words over them."""
     texts = df.select(F.col(text).cast("string").alias("text"))
     whole = counts.agg(F.sum("n"), F.count("*")).first()
     words = F.col("word") != F.lit(END)
-    head = [(bytes(r["word"]), r["n"]) for r in counts.filter(words).orderBy(F.desc("n"), "word").limit(local).collect()]
-    items = {w: i + 2 for i, (w, _) in enumerate(head[:frequent])}
+    head = [(bytes(r["word"]), r["n"]) for r in counts.filter(words).orderBy(F.desc("n"), "word").limit(frequent).collect()]
+    items = {w: i + 2 for i, (w, _) in enumerate(head)}
+    near = dict(head) | dict(common_words(counts.filter(words), local))
     tail = F.expr("substring(word, greatest(length(word) - 2, 1), 3)")
     ends = counts.filter(words).withColumn("e", tail).groupBy("e").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "e").limit(endings).collect()
     finals = {bytes(r["e"]): i + 2 + len(items) for i, r in enumerate(ends)}
@@ -193,7 +212,7 @@ def fit(df: DataFrame, counts: DataFrame, text: str = "text", frequent: int = 80
     below = np.full(k, SMOOTH)
     for r in counts.select("word", "n").mapInArrow(run, "c int, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         below[r["c"]] = r["n"] + SMOOTH * (r["v"] + 1)
-    return Model(items, finals, classes, dict(head), whole[0] or 0, whole[1] or 0, moves, np.log10(below))
+    return Model(items, finals, classes, near, whole[0] or 0, whole[1] or 0, moves, np.log10(below))
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

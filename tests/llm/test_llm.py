@@ -264,3 +264,11 @@ def test_sql(spark, name):
     at = [[d[0] for d in cursor.description].index(c) for c in got.columns]
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted((tuple(map(plain, r)) for r in got.collect()), key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in cursor.fetchall()), key=repr)
+
+
+def test_common_words_are_whole_levels_from_the_top(spark):
+    rows = [(bytes([97 + i]), n) for i, n in enumerate([9, 9, 5, 5, 5, 2])]
+    counts = spark.createDataFrame(rows, "word binary, n long").repartition(3)
+    for most, ns in [(0, []), (1, []), (2, [9, 9]), (4, [9, 9]), (5, [9, 9, 5, 5, 5]), (99, [9, 9, 5, 5, 5, 2])]:
+        assert sorted((n for _, n in class_lm.common_words(counts, most)), reverse=True) == ns
+    assert class_lm.common_words(counts.limit(0), 5) == []
