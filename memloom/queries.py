@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import text as T
-from .operators import corpus, graph, ledger, search, tokens
+from .operators import blocks, corpus, graph, ledger, search, tokens
 from .sources import sessions as S
 from .streaming import consolidation
 
@@ -115,6 +115,21 @@ def e15(spark: SparkSession, sf: str) -> DataFrame:
 
 _scalar("b02_sanitize", lambda: {"clean": T.sanitize(F.col("text"))}, {"clean": r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '\x1b\[[0-9;]*[a-zA-Z]', '', 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"})
 _CLIP = "CASE WHEN length(text) <= 200 THEN text WHEN instr(left(text, 200), ' ') > 0 AND 200 - instr(reverse(left(text, 200)), ' ') > 120 THEN left(text, 200 - instr(reverse(left(text, 200)), ' ')) ELSE left(text, 200) END"
+_ENDS = "'" + blocks.ENDS + "'"
+
+
+@query(
+    "b03_filter_noise",
+    rf"""WITH b AS (SELECT conv_id AS session_id, turn AS pos, role AS kind, text, regexp_replace(text, {_ENDS}, '', 'g') AS t FROM conversations),
+u AS (SELECT *, regexp_replace({"".join("regexp_replace(" for _ in blocks.WRAPPERS)}t{"".join(rf", '<{w}[^>]*>[\s\S]*?</{w}>', '', 'g')" for w in blocks.WRAPPERS)}, {_ENDS}, '', 'g') AS c FROM b)
+SELECT session_id, pos, kind, CASE WHEN kind = 'user' THEN c ELSE text END AS text FROM u WHERE kind IS DISTINCT FROM 'user'
+OR (c <> '' AND NOT ({" OR ".join(f"contains(text, '{s}')" for s in blocks.NOISE_REMARKS)}))""",
+)
+def b03_filter_noise(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), F.col("role").alias("kind"), F.lit(None).cast("string").alias("name"), "text")
+    return blocks.filter_noise(rows).drop("name")
+
+
 _scalar("h01_clip", lambda: {"clipped": T.clip(F.col("text"))}, {"clipped": _CLIP})
 _END = r"length(regexp_extract(left(text, 200), '^([\s\S]*[.!?])(?:\s|$)', 1))"
 _scalar("h02_clip_sentence", lambda: {"clipped": T.clip_sentence(F.col("text"))}, {"clipped": f"CASE WHEN length(text) <= 200 THEN text WHEN {_END} >= 100 THEN left(text, {_END}) ELSE {_CLIP} END"})

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from memloom.functions import text as T
-from memloom.operators import graph, ledger, search
+from memloom.operators import blocks, graph, ledger, search
 from memloom.sources import sessions
 from memloom.streaming import consolidation
 
@@ -73,3 +73,21 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: tuple(r)
     assert sorted(map(key, spark.table("fired").collect())) == sorted(map(key, consolidation.windows(rows, 40).collect()))
+
+
+def test_noise_goes_and_wrappers_are_cut(spark):
+    rows = [
+        (0, "thinking", None, "hm"),
+        (1, "tool_call", "TodoRead", "x"),
+        (2, "tool_result", "WebSearch", "x"),
+        (3, "tool_call", "Read", " kept as is "),
+        (4, "user", None, " <system-reminder a='1'>one\ntwo</system-reminder> ask\u00a0"),
+        (5, "user", None, "<command-message>only</command-message>"),
+        (6, "user", None, "well. No response requested. Yes"),
+        (7, "user", None, None),
+        (8, None, None, None),
+        (9, "user", None, "<system-reminder>a</command-message> b"),
+        (10, "assistant", None, ""),
+    ]
+    out = {r.pos: r.text for r in blocks.filter_noise(spark.createDataFrame(rows, "pos long, kind string, name string, text string")).collect()}
+    assert out == {3: " kept as is ", 4: "ask", 8: None, 9: "<system-reminder>a</command-message> b", 10: ""}
