@@ -153,13 +153,13 @@ def _grid(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each run of equal first three columns; the last run of a batch may go on in the next."""
+    """The rows of each run of equal RUN columns; the last run of a batch may go on in the next."""
     held: pa.Table | None = None
     for b in batches:
         now = pa.Table.from_batches([b])
         if held is not None:
             now = pa.concat_tables([held, now]).combine_chunks()
-        key = np.stack([now.column(i).to_numpy() for i in range(3)], axis=1)
+        key = np.stack([now.column(c).to_numpy() for c in RUN], axis=1)
         starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
         for i, j in zip(starts, starts[1:], strict=False):
             yield now.slice(i, j - i)

@@ -272,3 +272,19 @@ def test_common_words_are_whole_levels_from_the_top(spark):
     for most, ns in [(0, []), (1, []), (2, [9, 9]), (4, [9, 9]), (5, [9, 9, 5, 5, 5]), (99, [9, 9, 5, 5, 5, 2])]:
         assert sorted((n for _, n in class_lm.common_words(counts, most)), reverse=True) == ns
     assert class_lm.common_words(counts.limit(0), 5) == []
+
+
+def test_crowded_bucket_links_members_that_are_no_centres(spark):
+    """Pairs lack the same places of one template, so every bucket of a pair is shared by texts that are linked to neither."""
+    rng = random.Random(8)
+    texts = {}
+    for i, x in enumerate([0, *rng.sample(range(1, 10_000), 320)]):
+        own = [f"w{k}" for k in range(200)]
+        for p in random.Random((i + 1) // 2).sample(range(5, 195, 5), 5):
+            own[p] = f"m{x}p{p}"
+        texts[x] = " ".join(own)
+    want = brute_components(texts, 4)
+    assert list(want.values()).count(0) == 1  # the least text of all is linked to none
+    assert len(set(want.values())) == 161
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, n=4, block=64).collect()} == want
