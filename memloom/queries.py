@@ -336,7 +336,16 @@ def e22(spark: SparkSession, sf: str) -> DataFrame:
 path AS (SELECT session_id, max(pos) AS pos, arg_max(parent, pos) AS parent, 0::BIGINT AS depth FROM t WHERE pos < 60 GROUP BY 1 UNION ALL SELECT t.session_id, t.pos, t.parent, p.depth + 1 FROM path p JOIN t ON t.session_id = p.session_id AND t.pos = p.parent)
 SELECT session_id, pos, depth FROM path""".replace("arg_max(parent, pos)", "last(parent ORDER BY pos)"))
 def i01(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.ledger(spark, sf).filter("pos < 60")
+    return _branch(S.ledger(spark, sf).filter("pos < 60"))
+
+
+@query("i01_whole_branch")
+def i01_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The branch of whole sessions. The SQL of i01_active_branch sees the first 60 entries of each only."""
+    return _branch(S.ledger(spark, sf))
+
+
+def _branch(rows: DataFrame) -> DataFrame:
     return graph.active_branch(rows.select("session_id", "pos", F.when(F.col("pos") > F.col("key") % 3, F.col("pos") - 1 - F.col("key") % 3).alias("parent")))
 
 

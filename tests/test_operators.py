@@ -1,9 +1,11 @@
 """Behaviour restated on our own small inputs."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from memloom import queries
 from memloom.functions import text as T
 from memloom.operators import blocks, graph, ledger, search
 from memloom.sources import sessions
@@ -91,3 +93,30 @@ def test_noise_goes_and_wrappers_are_cut(spark):
     ]
     out = {r.pos: r.text for r in blocks.filter_noise(spark.createDataFrame(rows, "pos long, kind string, name string, text string")).collect()}
     assert out == {3: " kept as is ", 4: "ask", 8: None, 9: "<system-reminder>a</command-message> b", 10: ""}
+
+
+def write_events(spark, folder, rows):
+    """rows: user, type, key, in order of time."""
+    data = [(i, i, u, t, 1.0, json.dumps({"k": k})) for i, (u, t, k) in enumerate(rows)]
+    df = spark.createDataFrame(data, "event_id long, at long, user_id long, event_type string, value double, props string")
+    df.select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_branch_of_whole_sessions_matches_a_walk(spark, tmp_path):
+    rng = random.Random(1)
+    keys = {u: [rng.randrange(100) for _ in range(n)] for u, n in ((1, 12_000), (2, 61), (3, 60), (4, 1))}
+    write_events(spark, tmp_path, [(u, "view", k) for u, own in keys.items() for k in own])
+    want = set()
+    for u, own in keys.items():
+        pos, depth = len(own) - 1, 0
+        while pos >= 0:
+            want.add((u, pos, depth))
+            pos, depth = pos - 1 - own[pos] % 3, depth + 1
+    got = queries.QUERIES["i01_whole_branch"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.session_id, r.pos, r.depth) for r in got} == want
+
+
+def test_branch_ends_at_a_missing_parent_and_passes_any_depth(spark):
+    rows = [(1, i, i - 1 if i else None) for i in range(10_050)] + [(2, 5, 4), (2, 6, 5)]
+    out = graph.active_branch(spark.createDataFrame(rows, "session_id long, pos long, parent long")).collect()
+    assert sorted((r.session_id, r.pos, r.depth) for r in out) == [(1, i, 10_049 - i) for i in range(10_050)] + [(2, 5, 1), (2, 6, 0)]
