@@ -391,13 +391,9 @@ def c15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c16_session_components")
 def c16(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions joined by compactions with one key at positions that are multiples of 40."""
-    rows = S.ledger(spark, sf).filter("kind = 'compaction' AND pos % 40 = 0").select("session_id", "key").distinct()
+    """Sessions joined by compactions with one key."""
+    rows = S.ledger(spark, sf).filter("kind = 'compaction'").select("session_id", "key").distinct()
     least = rows.groupBy("key").agg(F.min("session_id").alias("b"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
     return graph.components(rows.join(least, "key").select(F.col("session_id").alias("a"), "b"))
 
 

@@ -120,3 +120,35 @@ def test_branch_ends_at_a_missing_parent_and_passes_any_depth(spark):
     rows = [(1, i, i - 1 if i else None) for i in range(10_050)] + [(2, 5, 4), (2, 6, 5)]
     out = graph.active_branch(spark.createDataFrame(rows, "session_id long, pos long, parent long")).collect()
     assert sorted((r.session_id, r.pos, r.depth) for r in out) == [(1, i, 10_049 - i) for i in range(10_050)] + [(2, 5, 1), (2, 6, 0)]
+
+
+def union_find(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def test_session_components_take_every_compaction(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(60), rng.choice(["view", "purchase", "purchase", "error"]), rng.randrange(90)) for _ in range(110)]
+    rows += [(u, "view", 1) for u in range(100, 220)] + [(u, "purchase", 1000 + (7 * u + d) % 121) for u in range(100, 220) for d in (0, 7)]
+    write_events(spark, tmp_path, rows)
+    bought = {(u, k) for u, t, k in rows if t == "purchase"}
+    want = union_find([(u, v) for u, k in bought for v, j in bought if k == j])
+    assert len(set(want.values())) > 3
+    assert {r.node: r.root for r in queries.QUERIES["c16_session_components"](spark, str(tmp_path)).collect()} == want
+
+
+def test_components_of_random_links_match_union_find(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 900)
+    links = list(zip(names[:150], names[1:150], strict=False)) + [(rng.choice(names[500:]), rng.choice(names[500:])) for _ in range(150)]
+    assert {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()} == union_find(links)
