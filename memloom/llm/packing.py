@@ -71,9 +71,10 @@ def _ids(texts: list[bytes], path: str) -> list[bytes]:
 
 
 def _parts(word: bytes) -> tuple[bytes, ...]:
-    """The word cut where the tokenizer cuts it in any case: letters, then a final comma or full stop."""
+    """The word cut where the tokenizer cuts it in any case: letters, then a final comma or full stop. U+0130 in lower case
+    ends in a mark that the tokenizer joins with the stop."""
     last = word[-1:]
-    if last in (b",", b".") and (stem := word[:-1].decode()).isalpha() and max(stem) < "\u0250":
+    if last in (b",", b".") and (stem := word[:-1].decode()).isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
         return (word[:-1].lower(), last)
     return (word.lower(),) if word.isalpha() else (word,)
 

@@ -288,3 +288,13 @@ def test_crowded_bucket_links_members_that_are_no_centres(spark):
     assert len(set(want.values())) == 161
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, n=4, block=64).collect()} == want
+
+
+def test_words_are_cut_only_where_the_tokenizer_cuts():
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_path())
+    letters = [chr(i) for i in range(0x250) if chr(i).isalpha()]
+    words = ["AL\u0130,", "\u0130.", "\u0130stanbul,", *[f"{a}{x}{end}" for x in letters for a in ("", "AL", "b") for end in ",."]]
+    got = packing._ids([w.encode() for w in words], queries.tokenizer_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tk.encode_batch(words, add_special_tokens=False)]
