@@ -152,3 +152,40 @@ def test_components_of_random_links_match_union_find(spark):
     names = rng.sample(range(10**6), 900)
     links = list(zip(names[:150], names[1:150], strict=False)) + [(rng.choice(names[500:]), rng.choice(names[500:])) for _ in range(150)]
     assert {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()} == union_find(links)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_keys_match_all_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["", "a", "b", "ab", "ac", "one two three four five six", "four five six one two three"]
+    for _ in range(12):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.choice([20, 90, 150]))]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.randrange(1, 2 + len(own) // 9)):  # beyond the first 80 letters too
+                own[rng.randrange(len(own))] = rng.choice("xyz")
+            texts.append("".join(own))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {}
+    for i, t in enumerate(texts):
+        keys.setdefault(" ".join(t.split()), i)
+    near, close = {}, {}
+    for k, i in keys.items():
+        for m, j in keys.items():
+            if i < j and abs(len(k) - len(m)) <= (1 - 0.88) * max(len(k), len(m)):
+                x, y = ({s[p : p + 2] for p in range(len(s) - 1)} for s in (k, m))
+                if x | y and len(x & y) / len(x | y) >= 0.73:
+                    near[i, j] = round(len(x & y) / len(x | y), 6)
+                    if (similarity := 1 - edits(k, m) / max(len(k), len(m))) >= 0.88:
+                        close[i, j] = round(similarity, 6)
+    assert 5 < len(close) < len(near)
+    assert {(r.a, r.b): r.jaccard for r in queries.QUERIES["h14_key_jaccard"](spark, str(tmp_path)).collect()} == near
+    assert {(r.a, r.b): r.similarity for r in queries.QUERIES["h13_key_levenshtein"](spark, str(tmp_path)).collect()} == close
