@@ -13,15 +13,46 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one of our own where the setting is unset."""
-    app = spark.sparkContext.applicationId
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of this application under spark.checkpoint.dir, which all executors share; deleted when the session's JVM
+    ends. Where the setting is unset, a local master gets a temporary folder; a cluster, whose executors would each write
+    to a disk of their own, an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="memloom-"))
-    return f"{base.rstrip('/')}/memloom/{app}"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="memloom-"))
+    path = f"{base.rstrip('/')}/memloom/{sc.applicationId}"
+    if path not in _kept:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _kept.add(path)
+    return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a few small files would leave most of them idle: at most a partition's bytes a core are
+    shuffled, and nothing is where the table is large or has many files. Results don't hang on it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files, plan = df.inputFiles(), df._jdf.queryExecution().optimizedPlan()
+    most = cores * int(spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    small = 0 < len(files) < cores and int(str(plan.stats().sizeInBytes())) < most
+    return df.repartition(cores) if small else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Toxicity by nearest labelled examples.
 
-Features are words and word beginnings of 4 to 6 characters, lower case, without outer punctuation. Those that labelled
-documents tie to toxicity beyond chance are kept: their one-sided binomial log-likelihood ratio must exceed the log of the
-number of features tested. Documents become TF-IDF vectors over these features, and the `k` nearest labelled examples by
-exact cosine vote, weighted by 1 / (1 - cosine + 0.05); an isotonic fit of leave-one-out votes makes scores calibrated, and
-the neighbours are the evidence. Neighbours are found in a block-max inverted index: postings are cut into blocks of
-`block` examples with the largest weight of each term; blocks are visited by falling upper bound until the bound can't
-reach the k-th best cosine, which loses nothing.
-
-What is fitted on a bounded sample: features and examples come from at most about `max_labelled` labelled rows, chosen by
-hash; the index has at most `max_features` features and `max_examples` examples. Every document is scored on its whole
-text, and the index that is broadcast is bounded by these parameters.
-
-Defined cases: null and empty texts, and texts without any kept feature, get the smoothed share of toxic examples among
-such texts; documents with conflicting labels count as toxic, null labels as none; equal cosines go to the smaller example
-id; without labelled rows every score is 0; repeated rows are scored alike; extra columns of any name are kept.
+Terms are words, lower case and without outer punctuation, and the beginnings of `START` characters of longer ones, so that
+inflected forms meet. All terms of all examples count; none is chosen or thrown away by its labels. Documents become TF-IDF
+vectors, (1 + log tf) * idf * relevance, where a term's relevance is sqrt(1 + G) for the log-likelihood ratio G by which
+labelled examples tie it to toxicity, and 1 for any other term (supervised term weighting; with `relevance` off it is
+plain TF-IDF). The `k` nearest labelled examples by exact cosine vote, weighted by 1 / (1.05 - cosine); an isotonic fit of
+leave-one-out votes makes scores calibrated, and the neighbours are the evidence. Neighbours are found in a block-max
+inverted index: postings are cut into blocks of `block` examples with the largest weight of each term in each; the blocks of
+largest upper bound give a cosine that the k-th best can't fall under, and all blocks that can reach it are added up,
+which loses nothing. Examples with like vocabulary lie side by side, so that bounds differ between blocks.
+
+What is fitted on a bounded sample: examples are at most about `max_labelled` labelled rows, chosen by hash, with all their
+terms. Every document is scored on its whole text; the index that is broadcast is bounded by these rows' distinct terms.
+
+Defined cases: texts without any term of an example, null and empty ones among them, get the smoothed share of toxic
+examples among examples without terms and no evidence; documents with conflicting labels count as toxic, null labels as
+none; equal cosines go to the smaller example id; without labelled rows every score is 0; repeated rows are scored
+alike; extra columns of any name are kept, but one that has the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -26,66 +28,88 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, spread
 
 EDGES = ".,;:!?#$%&*|<>()[]{}\"'`~^_=+-/\\@"
-PREFIXES = (4, 5, 6)
-MAX_LABELLED, MAX_FEATURES, MAX_EXAMPLES = 12_000, 4096, 4096
+START = 5
+MAX_LABELLED = 4_000
 #: Words that a worker keeps at most.
 KNOWN_WORDS = 200_000
 
 
-def features(word: str) -> list[str]:
-    """The word and its beginnings; the latter end in an asterisk."""
+def terms_of(word: str) -> tuple[str, ...]:
+    """The word and, if it is longer, its beginning with an asterisk."""
     w = word.strip(EDGES)
-    return [w, *(f"{w[:n]}*" for n in PREFIXES if len(w) >= n)] if w else []
+    return (w, f"{w[:START]}*") if len(w) > START else (w,) if w else ()
+
+
+def count_terms(text: str | None) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for w, n in Counter((text or "").lower().split()).items():
+        for t in terms_of(w):
+            out[t] += n
+    return out
+
+
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 ... n[0] numbers, then those of first[1] ..."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over the examples' unit vectors."""
+    """Block-max inverted index over the examples' unit vectors. An entry is a term in a block: its largest weight there, and
+    where its postings (places and weights of examples) lie."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     block: int
-    #: By term: example places, weights, and the largest weight in each block.
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    entries: np.ndarray  # term t has entries[t] up to entries[t + 1]
+    blocks: np.ndarray
     tops: np.ndarray
+    postings: np.ndarray  # entry e has postings[e] up to postings[e + 1]
+    places: np.ndarray
+    values: np.ndarray
+    rank: np.ndarray  # of places in the order of ids
     prior: float = 0.0
-    steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[i]) for i in at.tolist()]) * self.idf[at]
-        return at, w / (np.linalg.norm(w) or 1.0)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1, first: int = 4) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, ties by place: the `first` blocks of largest bound give the cosine
-        that others must be able to reach, and of these all that can are added up."""
-        bounds = w @ self.tops[at]
+    empty: float = 0.0
+    steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.weights[terms]
+        return w / (np.linalg.norm(w) or 1.0)
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, leave: int = -1, first: int = 4) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above 0, ties by id."""
+        n = self.entries[terms + 1] - self.entries[terms]
+        entry, x = spans(self.entries[terms], n), np.repeat(w, n)
+        block = self.blocks[entry]
+        bounds = np.bincount(block, self.tops[entry] * x, minlength=-(-len(self.ids) // self.block))
         order = np.argsort(-bounds, kind="stable")
-        best = self._best(at, w, order[:first], k, leave)
+        best = self._best(entry, x, block, order[:first], len(bounds), k, leave)
         least = best[-1][1] if len(best) == k else 0.0
         rest = order[first:]
         rest = rest[(bounds[rest] > 0) & (bounds[rest] >= least - 1e-9)]
         if len(rest):
-            best = sorted(best + self._best(at, w, rest, k, leave), key=lambda x: (-x[1], x[0]))[:k]
+            best = sorted(best + self._best(entry, x, block, rest, len(bounds), k, leave), key=lambda b: (-b[1], self.rank[b[0]]))[:k]
         return best
 
-    def _best(self, at: np.ndarray, w: np.ndarray, chosen: np.ndarray, k: int, leave: int) -> list[tuple[int, float]]:
-        inside = np.zeros(self.tops.shape[1], bool)
+    def _best(self, entry: np.ndarray, x: np.ndarray, block: np.ndarray, chosen: np.ndarray, n_blocks: int, k: int, leave: int) -> list[tuple[int, float]]:
+        inside = np.zeros(n_blocks, bool)
         inside[chosen] = True
-        sums = np.zeros(len(self.ids))
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            place, weight = self.postings[t]
-            held = inside[place // self.block]
-            sums[place[held]] += x * weight[held]
+        held = inside[block]
+        entry, x = entry[held], x[held]
+        n = self.postings[entry + 1] - self.postings[entry]
+        at = spans(self.postings[entry], n)
+        sums = np.bincount(self.places[at], self.values[at] * np.repeat(x, n), minlength=len(self.ids))
         if leave >= 0:
             sums[leave] = 0.0
         hit = np.flatnonzero(sums > 0)
@@ -93,16 +117,14 @@ class Index:
         if len(hit) > k:
             near = cosine >= np.partition(cosine, len(hit) - k)[len(hit) - k]
             hit, cosine = hit[near], cosine[near]
-        return sorted(zip(hit.tolist(), cosine.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
+        return sorted(zip(hit.tolist(), cosine.tolist(), strict=True), key=lambda b: (-b[1], self.rank[b[0]]))[:k]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
-        if not near:
-            return self.prior
         w = np.array([1 / (1.05 - c) for _, c in near])
         return float((w @ self.toxic[[p for p, _ in near]] + self.prior) / (w.sum() + 1))
 
     def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
+        return min(1.0, max(0.0, float(np.interp(vote, *self.steps))))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,110 +146,134 @@ def _labelled(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, te
     some = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
     # About max_labelled pairs of numbers: a bounded side.
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    return cut(texts.join(F.broadcast(some), "_id").dropDuplicates(["_id"]))
+    return texts.join(F.broadcast(some), "_id").dropDuplicates(["_id"])
 
 
-def _choose(rows: DataFrame, max_features: int) -> list[str]:
-    """The features that labelled documents tie to toxicity, strongest first."""
+def relevances(n: np.ndarray, bad: np.ndarray, total: int, total_bad: int) -> np.ndarray:
+    """sqrt(1 + G) of terms that occur in `bad` toxic examples of `n`, more than the labels' share would give; else 1."""
+    share = total_bad / max(1, total)
+    good, log = n - bad, lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1) / np.maximum(b, 1e-300)), 0.0)
+    gain = 2 * (log(bad, n * share) + log(good, n * (1 - share)))
+    return np.sqrt(1 + np.where(bad > n * share, np.maximum(gain, 0), 0.0))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter[str] = Counter()
-            bad: Counter[str] = Counter()
-            for t, toxic in zip(b.column("_text").to_pylist(), b.column("_toxic").to_pylist(), strict=True):
-                found = {f for w in set((t or "").lower().split()) for f in features(w)}
-                seen.update(found)
-                if toxic:
-                    bad.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([bad[f] for f in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["term", "bad", "n"])
-
-    total = rows.agg(F.count("*"), F.sum("_toxic")).first()
-    if not total[0] or not total[1]:
-        return []
-    base = max(total[1] / total[0], 1e-9)
-    counts = cut(rows.select("_text", "_toxic").mapInArrow(count, "term string, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).filter("n >= 3"))
-    tested = max(1, counts.count())
-    rate = F.col("bad") / F.col("n")
-    gain = F.col("bad") * F.log(rate / base) + F.when(rate < 1, (F.col("n") - F.col("bad")) * F.log((1 - rate) / max(1 - base, 1e-9))).otherwise(0.0)
-    strong = counts.filter((F.col("bad") > 0) & (rate >= min(0.9, 3 * base))).withColumn("gain", gain).filter(F.col("gain") > math.log(tested))
-    return [r["term"] for r in strong.orderBy(F.desc("gain"), "term").limit(max_features).collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", k: int = 16, block: int = 64, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, max_examples: int = MAX_EXAMPLES) -> Index:
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", k: int = 16, block: int = 64, max_labelled: int = MAX_LABELLED, relevance: bool = True) -> Index:
     """The index. learn: a condition on the labels' rows; the others are never looked at."""
     rows = _labelled(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, label, max_labelled)
-    chosen = _choose(rows, max_features)
-    terms = {t: i for i, t in enumerate(chosen)}
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [count_terms(t or "", terms, {}) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), b.column("_toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "toxic", "at", "n"])
-
-    made = cut(rows.select("_id", "_text", "_toxic").mapInArrow(vectors, "id string, toxic int, at array<int>, n array<int>"))
-    empty = made.filter(F.size("at") == 0).agg(F.count("*"), F.sum("toxic")).first()
-    df = np.zeros(len(terms))
-    full = made.filter(F.size("at") > 0)
-    n_rows = made.count()
-    for r in full.select(F.explode("at").alias("t")).groupBy("t").count().collect():  # at most max_features rows
-        df[r["t"]] = r["count"]
-    share = min(1.0, max_examples / max(1, full.count()))
-    kept = full.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).orderBy("id").collect()  # about max_examples rows
-    index = Index(terms, np.log((n_rows + 1) / (df + 1)) + 1, np.array([r["id"] for r in kept], object), np.array([float(r["toxic"] > 0) for r in kept]), block, [], np.zeros((len(terms), -(-len(kept) // block) or 1)))
-    index.prior = ((empty[1] or 0) + 0.5 * (n_rows > 0)) / (empty[0] + 1) if n_rows else 0.0
-    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
-    own = [index.vector(dict(zip(r["at"], r["n"], strict=True))) for r in kept]
-    for place, (at, w) in enumerate(own):
-        for t, x in zip(at.tolist(), w.tolist(), strict=True):
-            lists[t][0].append(place)
-            lists[t][1].append(x)
-            index.tops[t, place // block] = max(index.tops[t, place // block], x)
-    index.postings = [(np.array(p, np.int64), np.array(w)) for p, w in lists]
-    index.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if len(own) >= 20:
-        index.steps = isotonic(np.array([index.vote(index.nearest(at, w, k, leave=i)) for i, (at, w) in enumerate(own)]), index.toxic)
+            found = [count_terms(t) for t in b.column("_text").to_pylist()]
+            columns = [b.column("_id").cast(pa.string()), b.column("_toxic"), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "terms", "counts"])
+
+    spread_out = rows.select("_id", "_text", "_toxic").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # bounded rows
+    made = cut(spread_out.mapInArrow(run, "id string, toxic int, terms array<string>, counts array<bigint>"))
+    index = build(made.toArrow(), block, relevance)  # about max_labelled rows
+    if len(index.ids) >= 20:
+        index.steps = isotonic(*_votes(made, index, k))
     return index
 
 
-def count_terms(text: str, terms: dict[str, int], known: dict[str, tuple[int, ...]]) -> Counter[int]:
-    out: Counter[int] = Counter()
-    for w in text.lower().split():
-        at = known.get(w)
-        if at is None:
-            at = tuple(terms[f] for f in features(w) if f in terms)
-            if len(known) >= KNOWN_WORDS:
-                known.clear()
-            known[w] = at
-        if at:
-            out.update(at)
-    return out
+def _votes(made: DataFrame, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each example's vote by the others, and its label."""
+    held = made.sparkSession.sparkContext.broadcast((index, {x: i for i, x in enumerate(index.ids.tolist())}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, place = held.value
+        for b in batches:
+            votes, toxic = [], []
+            for own, label, terms, counts in zip(*[b.column(c).to_pylist() for c in ("id", "toxic", "terms", "counts")], strict=True):
+                if terms:
+                    at, n = np.array([x.terms[t] for t in terms], np.int64), np.array(counts, np.float64)
+                    sort = np.argsort(at)
+                    near = x.nearest(at[sort], x.vector(at[sort], n[sort]), k, leave=place[own])
+                    votes.append(x.vote(near) if near else x.prior)
+                    toxic.append(float(label > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(toxic, pa.float64())], ["vote", "toxic"])
+
+    out = made.repartition(made.sparkSession.sparkContext.defaultParallelism, "id").mapInArrow(run, "vote double, toxic double").toArrow()
+    votes, toxic = out.column("vote").to_numpy(), out.column("toxic").to_numpy()
+    order = np.lexsort((toxic, votes))
+    return votes[order], toxic[order]
+
+
+def build(examples: pa.Table, block: int = 64, relevance: bool = True) -> Index:
+    """The index of examples: id, toxic, terms, counts."""
+    lists = examples.column("terms").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    vocabulary, term = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    count = examples.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, toxic = np.array(examples.column("id").to_pylist(), object), (examples.column("toxic").to_numpy() > 0).astype(float)
+    total, row = len(ids), np.repeat(np.arange(len(ids)), size)
+    n = np.bincount(term, minlength=len(vocabulary)).astype(float)
+    weights = np.log((total + 1) / (n + 1)) + 1
+    if relevance:
+        weights = weights * relevances(n, np.bincount(term, toxic[row], minlength=len(vocabulary)), total, int(toxic.sum()))
+    # Examples with terms, by label and then by which of the most common terms they have.
+    common = np.argsort(-n, kind="stable")[:48]
+    marks = np.zeros((total, len(common)), bool)
+    for j, t in enumerate(common):
+        marks[row[term == t], j] = True
+    order = sorted(np.flatnonzero(size > 0).tolist(), key=lambda i: (-toxic[i], marks[i].tobytes(), ids[i]))
+    place = np.full(total, -1)
+    place[order] = np.arange(len(order))
+    w = (1 + np.log(np.maximum(count, 1))) * weights[term]
+    w = w / np.maximum(np.sqrt(np.bincount(row, w * w, minlength=total)), 1e-300)[row]
+    sort = np.lexsort((place[row], term))
+    term, at, w = term[sort], place[row][sort], w[sort]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (at[1:] // block != at[:-1] // block)
+    starts = np.flatnonzero(new)
+    tops = np.maximum.reduceat(w, starts) if len(starts) else w
+    entries = np.searchsorted(term[starts], np.arange(len(vocabulary) + 1))
+    own = ids[order]
+    rank = np.empty(len(order), np.int64)
+    rank[sorted(range(len(order)), key=lambda i: own[i])] = np.arange(len(order))
+    index = Index(dict(zip(vocabulary, range(len(vocabulary)), strict=True)), weights, own, toxic[order], block, entries, (at[starts] // block).astype(np.int32), tops, np.append(starts, len(term)), at.astype(np.int32), w, rank)
+    if total:
+        index.prior = float((toxic.sum() + 0.5) / (total + 1))
+        index.empty = float((toxic[size == 0].sum() + 0.5) / ((size == 0).sum() + 1))
+    return index
 
 
 def score(df: DataFrame, index: Index, k: int = 16, text: str = "text", names: tuple[str, str] = ("score", "evidence"), keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep), score, and the neighbours as array<struct<id, cosine, toxic>>."""
     held = df.sparkSession.sparkContext.broadcast(index)
-    rows = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)], F.col(f"`{text}`").cast("string").alias("_text_to_score"))
+    taken = {n.lower() for n in names}
+    rows = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c.lower() not in taken], F.col(f"`{text}`").cast("string").alias("_text_to_score"))
     kept = rows.schema.fields[:-1]
     neighbour = T.StructType().add("id", "string").add("cosine", "double").add("toxic", "integer")
-    schema = rows.drop("_text_to_score").schema.add(names[0], "double").add(names[1], T.ArrayType(neighbour))
+    schema = T.StructType([*kept]).add(names[0], "double").add(names[1], T.ArrayType(neighbour))
     shape = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, known = held.value, {}
-        done: dict[tuple, tuple[float, list]] = {}
+        done: dict[bytes, tuple[float, list]] = {}
         for b in batches:
             scores, evidence = [], []
             for t in b.column(len(kept)).to_pylist():
-                counts = count_terms(t or "", x.terms, known)
-                key = tuple(sorted(counts.items()))
+                counts: Counter[int] = Counter()
+                for w, n in Counter((t or "").lower().split()).items():
+                    at = known.get(w)
+                    if at is None:
+                        at = tuple(x.terms[f] for f in terms_of(w) if f in x.terms)
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        known[w] = at
+                    for i in at:
+                        counts[i] += n
+                terms = np.array(sorted(counts), np.int64)
+                own = np.array([counts[i] for i in terms.tolist()], np.float64)
+                key = terms.tobytes() + own.tobytes()
                 if key not in done:
-                    near = x.nearest(*x.vector(counts), k) if counts and len(x.ids) else []
-                    if len(done) > 50_000:
+                    if len(done) > 2_000:
                         done.clear()
-                    value = x.calibrated(x.vote(near)) if near else x.prior
-                    done[key] = (min(1.0, max(0.0, value)), [{"id": x.ids[p], "cosine": c, "toxic": int(x.toxic[p])} for p, c in near])
+                    near = x.nearest(terms, x.vector(terms, own), k) if len(terms) else []
+                    done[key] = (x.calibrated(x.vote(near)) if near else x.empty, [{"id": x.ids[p], "cosine": c, "toxic": int(x.toxic[p])} for p, c in near])
                 scores.append(done[key][0])
                 evidence.append(done[key][1])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, shape)], [*[f.name for f in kept], *names])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)

@@ -45,7 +45,7 @@ OPERATORS = {
     "mix_plan": lambda s, d: mixing.mix_plan(d),
     "mix": lambda s, d: mixing.mix(d),
     "pack": lambda s, d: packing.best_fit_packing(d, queries.tokenizer_path(), with_ids=True),
-    "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, labels(s)), names=("tox", "near")),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, labels(s))),
     "quality": lambda s, d: quality.quality_rules(d, keep=["doc_id", "lang", "source"]),
     "near": lambda s, d: minhash.near_duplicates(d),
     "lm": lambda s, d: class_lm.class_lm(d),
