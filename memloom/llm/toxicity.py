@@ -8,7 +8,9 @@ plain TF-IDF). The `k` nearest labelled examples by exact cosine vote, weighted
 leave-one-out votes makes scores calibrated, and the neighbours are the evidence. Neighbours are found in a block-max
 inverted index: postings are cut into blocks of `block` examples with the largest weight of each term in each; the blocks of
 largest upper bound give a cosine that the k-th best can't fall under, and all blocks that can reach it are added up,
-which loses nothing. Examples with like vocabulary lie side by side, so that bounds differ between blocks.
+which loses nothing. Examples with like vocabulary lie side by side, so that bounds differ between blocks. The `COMMON` terms
+that most examples have lie in a matrix instead of lists; what they add is known for many texts at once, and so their part of a
+block's bound is the exact one.
 
 What is fitted on a bounded sample: examples are at most about `max_labelled` labelled rows, chosen by hash, with all their
 terms. Every document is scored on its whole text; the index that is broadcast is bounded by these rows' distinct terms.
@@ -38,6 +40,7 @@ from .common import cut, spread
 EDGES = ".,;:!?#$%&*|<>()[]{}\"'`~^_=+-/\\@"
 START = 5
 MAX_LABELLED = 4_000
+COMMON = 512
 #: Words that a worker keeps at most.
 KNOWN_WORDS = 200_000
 
@@ -62,6 +65,29 @@ def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
+class Words:
+    """Texts to term numbers and counts; of the words met, at most about KNOWN_WORDS are kept."""
+
+    def __init__(self, terms: dict[str, int]) -> None:
+        self.terms, self.known = terms, {}
+        self.pairs = np.zeros((0, 2), np.int64)
+
+    def count(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(self.known) >= KNOWN_WORDS:
+            self.known, self.pairs = {}, self.pairs[:0]
+        split = [(t or "").lower().split() for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        found = [[self.terms.get(t, -1) for t in terms_of(w)] for w in new]
+        self.pairs = np.concatenate([self.pairs, np.array([(f + [-1, -1])[:2] for f in found], np.int64).reshape(-1, 2)])
+        out = []
+        for ws in split:
+            terms = self.pairs[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].ravel()
+            terms, n = np.unique(terms[terms >= 0], return_counts=True)
+            out.append((terms, n.astype(float)))
+        return out
+
+
 @dataclass
 class Index:
     """Block-max inverted index over the examples' unit vectors. An entry is a term in a block: its largest weight there, and
@@ -79,6 +105,8 @@ class Index:
     places: np.ndarray
     values: np.ndarray
     rank: np.ndarray  # of places in the order of ids
+    row: np.ndarray  # of a term in the matrix of common terms' weights by place, or -1
+    matrix: np.ndarray
     prior: float = 0.0
     empty: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
@@ -87,36 +115,48 @@ class Index:
         w = (1 + np.log(counts)) * self.weights[terms]
         return w / (np.linalg.norm(w) or 1.0)
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, leave: int = -1, first: int = 4) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, ties by id."""
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosines of vectors (terms, weights): one line of places for each."""
+        dense = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, w) in enumerate(vectors):
+            row = self.row[terms]
+            dense[i, row[row >= 0]] = w[row >= 0]
+        return dense @ self.matrix
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, leave: int = -1, first: int = 4, base: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above 0, ties by id. base: of common()."""
+        if base is None:
+            base = self.common([(terms, w)])[0]
         n = self.entries[terms + 1] - self.entries[terms]
         entry, x = spans(self.entries[terms], n), np.repeat(w, n)
         block = self.blocks[entry]
-        bounds = np.bincount(block, self.tops[entry] * x, minlength=-(-len(self.ids) // self.block))
+        tops = np.maximum.reduceat(base, np.arange(0, len(base), self.block))
+        bounds = tops + np.bincount(block, self.tops[entry] * x, minlength=len(tops))
         order = np.argsort(-bounds, kind="stable")
-        best = self._best(entry, x, block, order[:first], len(bounds), k, leave)
+        best = self._best(entry, x, block, order[:first], base, k, leave)
         least = best[-1][1] if len(best) == k else 0.0
         rest = order[first:]
         rest = rest[(bounds[rest] > 0) & (bounds[rest] >= least - 1e-9)]
         if len(rest):
-            best = sorted(best + self._best(entry, x, block, rest, len(bounds), k, leave), key=lambda b: (-b[1], self.rank[b[0]]))[:k]
+            best = sorted(best + self._best(entry, x, block, rest, base, k, leave), key=lambda b: (-b[1], self.rank[b[0]]))[:k]
         return best
 
-    def _best(self, entry: np.ndarray, x: np.ndarray, block: np.ndarray, chosen: np.ndarray, n_blocks: int, k: int, leave: int) -> list[tuple[int, float]]:
-        inside = np.zeros(n_blocks, bool)
+    def _best(self, entry: np.ndarray, x: np.ndarray, block: np.ndarray, chosen: np.ndarray, base: np.ndarray, k: int, leave: int) -> list[tuple[int, float]]:
+        inside = np.zeros(-(-len(base) // self.block), bool)
         inside[chosen] = True
         held = inside[block]
         entry, x = entry[held], x[held]
         n = self.postings[entry + 1] - self.postings[entry]
         at = spans(self.postings[entry], n)
-        sums = np.bincount(self.places[at], self.values[at] * np.repeat(x, n), minlength=len(self.ids))
+        sums = base + np.bincount(self.places[at], self.values[at] * np.repeat(x, n), minlength=len(base))
+        sums *= np.repeat(inside, self.block)[: len(base)]
         if leave >= 0:
             sums[leave] = 0.0
         hit = np.flatnonzero(sums > 0)
-        cosine = np.round(sums[hit], 12)
         if len(hit) > k:
-            near = cosine >= np.partition(cosine, len(hit) - k)[len(hit) - k]
-            hit, cosine = hit[near], cosine[near]
+            least = np.partition(sums[hit], len(hit) - k)[len(hit) - k]
+            hit = hit[sums[hit] >= least - 1e-11]
+        cosine = np.round(sums[hit], 12)
         return sorted(zip(hit.tolist(), cosine.tolist(), strict=True), key=lambda b: (-b[1], self.rank[b[0]]))[:k]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
@@ -221,6 +261,12 @@ def build(examples: pa.Table, block: int = 64, relevance: bool = True) -> Index:
     place[order] = np.arange(len(order))
     w = (1 + np.log(np.maximum(count, 1))) * weights[term]
     w = w / np.maximum(np.sqrt(np.bincount(row, w * w, minlength=total)), 1e-300)[row]
+    line = np.full(len(vocabulary), -1)
+    line[np.argsort(-n, kind="stable")[:COMMON]] = np.arange(min(COMMON, len(vocabulary)))
+    often = line[term] >= 0
+    matrix = np.zeros((min(COMMON, len(vocabulary)), len(order)))
+    matrix[line[term[often]], place[row[often]]] = w[often]
+    term, row, w = term[~often], row[~often], w[~often]
     sort = np.lexsort((place[row], term))
     term, at, w = term[sort], place[row][sort], w[sort]
     new = np.ones(len(term), bool)
@@ -231,7 +277,7 @@ def build(examples: pa.Table, block: int = 64, relevance: bool = True) -> Index:
     own = ids[order]
     rank = np.empty(len(order), np.int64)
     rank[sorted(range(len(order)), key=lambda i: own[i])] = np.arange(len(order))
-    index = Index(dict(zip(vocabulary, range(len(vocabulary)), strict=True)), weights, own, toxic[order], block, entries, (at[starts] // block).astype(np.int32), tops, np.append(starts, len(term)), at.astype(np.int32), w, rank)
+    index = Index(dict(zip(vocabulary, range(len(vocabulary)), strict=True)), weights, own, toxic[order], block, entries, (at[starts] // block).astype(np.int32), tops, np.append(starts, len(term)), at.astype(np.int32), w, rank, line, matrix)
     if total:
         index.prior = float((toxic.sum() + 0.5) / (total + 1))
         index.empty = float((toxic[size == 0].sum() + 0.5) / ((size == 0).sum() + 1))
@@ -249,31 +295,19 @@ def score(df: DataFrame, index: Index, k: int = 16, text: str = "text", names: t
     shape = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, known = held.value, {}
-        done: dict[bytes, tuple[float, list]] = {}
+        x = held.value
+        words = Words(x.terms)
         for b in batches:
             scores, evidence = [], []
-            for t in b.column(len(kept)).to_pylist():
-                counts: Counter[int] = Counter()
-                for w, n in Counter((t or "").lower().split()).items():
-                    at = known.get(w)
-                    if at is None:
-                        at = tuple(x.terms[f] for f in terms_of(w) if f in x.terms)
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        known[w] = at
-                    for i in at:
-                        counts[i] += n
-                terms = np.array(sorted(counts), np.int64)
-                own = np.array([counts[i] for i in terms.tolist()], np.float64)
-                key = terms.tobytes() + own.tobytes()
-                if key not in done:
-                    if len(done) > 2_000:
-                        done.clear()
-                    near = x.nearest(terms, x.vector(terms, own), k) if len(terms) else []
-                    done[key] = (x.calibrated(x.vote(near)) if near else x.empty, [{"id": x.ids[p], "cosine": c, "toxic": int(x.toxic[p])} for p, c in near])
-                scores.append(done[key][0])
-                evidence.append(done[key][1])
+            for start in range(0, b.num_rows, 64):
+                vectors = []
+                for terms, own in words.count(b.column(len(kept)).slice(start, 64).to_pylist()):
+                    vectors.append((terms, x.vector(terms, own)))
+                base = x.common(vectors) if len(x.ids) else None
+                for i, (terms, w) in enumerate(vectors):
+                    near = x.nearest(terms, w, k, base=base[i]) if len(terms) else []
+                    scores.append(x.calibrated(x.vote(near)) if near else x.empty)
+                    evidence.append([{"id": x.ids[p], "cosine": c, "toxic": int(x.toxic[p])} for p, c in near])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, shape)], [*[f.name for f in kept], *names])
 
     return spread(rows).mapInArrow(run, schema)
