@@ -1,16 +1,21 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut into blocks, each with its root-to-leaf path of block elements. Per path the text length and punctuation of
-its blocks are summed and divided by their number; both ratios are smoothed along the order of the paths, multiplied, and
-compared with a share of their standard deviation. The content is the region, an article or main element or else the
-deepest element, that holds the most of what the selected paths have; all its blocks are taken in page order, short ones
-too. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are told by element,
-role, class or id and never count.
-
-Defined cases: null and empty html give an empty text; unclosed and misplaced tags are repaired as far as paths need it, a
-tag, comment or script that never ends runs to the end of the page; text without tags is one block; unknown character
-references stay as they are; repeated rows give repeated results; an empty table gives an empty table; extra columns
-of any name are kept.
+A page is cut into blocks, each with its root-to-leaf path of block elements and their first class names. Per path, text
+length and punctuation of its blocks are divided by their number. Both ratios are laid out in the order of the blocks,
+smoothed with a Gaussian kernel and multiplied; a path whose blocks' mean product reaches `share` of the standard
+deviation over all blocks is selected, and its blocks are content nodes. The main text is what the smallest element around
+the content nodes holds, in page order, its headings, captions and other short blocks too.
+
+What ratios can't tell apart is settled by names. Text of menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments may read like an article's: an element that says so by its tag, role, or a class or id made of such words
+alone, is passed over, unless it holds most of the page's text. Where article or main elements hold half of the content
+nodes' text, the outermost of them that hold any take the place of the smallest element. A parent of the smallest element
+whose other blocks are all headings takes its place too.
+
+Defined cases: null and empty html give an empty text; unclosed and misplaced tags are repaired as far as paths need it,
+quotes open only after an equals sign; a tag, comment or script that never ends runs to the end of the page; text without
+tags is one block; unknown character references stay as they are; repeated rows give repeated results; an empty table gives
+an empty table; extra columns of any name are kept, but one that has the name of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,52 +29,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
+_REST = r"""((?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)?|[^=>])*+)"""
 #: Comments, declarations, elements with raw text, and tags.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)(?=[\s/>]){_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*){_REST}(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav header footer aside form button select option fieldset object canvas audio video dialog menu".split())
-NEVER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-#: Parts of class names and ids, as whole words.
-NEVER_NAMES = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion sidebar comment comments reply replies disqus notice notices cookie cookies consent banner newsletter subscribe share sharing social related menu nav navbar navigation breadcrumb breadcrumbs header footer popup modal login signup".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = frozenset(("article", "main"))
+#: Elements and roles of what isn't main text.
+ASIDE = frozenset("head nav header footer aside form button select option fieldset object canvas audio video dialog menu".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+#: Words of class names and ids that say the same, and words that add nothing beside them. A name counts if it is made of both
+#: alone: cookie-notice and site-nav do, share-note, related-work and no-sidebar don't.
+ASIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion sidebar comment comments reply replies disqus notice notices cookie cookies consent gdpr banner newsletter subscribe share sharing social related menu nav navbar navigation breadcrumb breadcrumbs header footer popup modal login signup".split()
+)
+PLAIN_WORDS = frozenset("area article bar block bottom box buttons column container form group inner item items left links list main outer page panel post posts reader right section site slot text thread top unit user widget wrap wrapper".split())
 #: What an opening tag closes, and where that stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 PUNCTUATION = re.compile(r"[.,;:!?\"'()…。、！？；：¿¡«»„“”]")
+#: Weights of the block before, the block itself and the block after.
+KERNEL = np.exp(-np.array([1.0, 0.0, 1.0]) / 2) / (1 + 2 * np.exp(-0.5))
+
+
+def told_aside(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element's tag, role or names say that it isn't main text."""
+    if tag in ASIDE or attributes.get("role", "").lower() in ASIDE_ROLES:
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return True
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = [p for p in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
+        if any(p in ASIDE_WORDS for p in parts) and all(p in ASIDE_WORDS or p in PLAIN_WORDS for p in parts):
+            return True
+    return False
 
 
 class _Element:
-    __slots__ = ("inline", "name", "order", "parent", "path", "skip", "tag")
+    __slots__ = ("aside", "inline", "order", "parent", "path", "size", "tag")
 
-    def __init__(self, tag: str, name: str, parent: _Element | None, skip: bool, order: int) -> None:
-        self.tag, self.name, self.parent, self.skip, self.order = tag, name, parent, skip, order
+    def __init__(self, tag: str, attributes: dict[str, str], parent: _Element | None, order: int) -> None:
+        self.tag, self.parent, self.order, self.size = tag, parent, order, 0
         self.inline = tag in INLINE
-        self.path = name if parent is None else parent.path if self.inline else f"{parent.path}/{name}"
-
+        own = attributes.get("class", "").lower().split()
+        name = f"{tag}.{own[0]}" if own else tag
+        self.path = tag if parent is None else parent.path if self.inline else f"{parent.path}/{name}"
+        self.aside = parent is not None and told_aside(tag, attributes)
 
-def _element(tag: str, attributes: str, parent: _Element, order: int) -> _Element:
-    skip, name = parent.skip or tag in NEVER, tag
-    if attributes and not attributes.isspace():
-        got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-        label = f"{got.get('class', '')} {got.get('id', '')}".lower()
-        if label != " ":
-            name = f"{tag}.{label.split()[0]}" if label.split() else tag
-        if not skip and tag not in ("html", "body", "main"):
-            parts = set(re.findall(r"[a-z]+", label))
-            skip = bool(parts & NEVER_NAMES) or got.get("role", "").lower() in NEVER_ROLES or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    return _Element(tag, name, parent, skip, order)
+    def up(self) -> Iterator[_Element]:
+        at: _Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
 
 
 def blocks(page: str) -> list[tuple[_Element, str]]:
-    """The element and text of every block that may be content, in page order."""
-    root = here = _Element("", "", None, False, 0)
+    """The element and text of every block, in page order."""
+    here = _Element("", {}, None, 0)
     out: list[tuple[_Element, str]] = []
     text: list[str] = []
     last, order = 0, 0
@@ -77,21 +102,14 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
     def flush() -> None:
         if text:
             if said := " ".join(html.unescape("".join(text)).split()):
-                at = here
-                while at.inline:
-                    at = at.parent
-                out.append((at, said))
+                out.append((next(e for e in here.up() if not e.inline), said))
             text.clear()
 
-    def close(to: _Element) -> None:
-        nonlocal here
-        here = to
-
     for m in TOKEN.finditer(page):
-        if not here.skip and m.start() > last:
+        if m.start() > last:
             text.append(page[last : m.start()])
         last = m.end()
-        tag = m[3].lower() if m[3] else ""
+        tag = m[4].lower() if m[4] else ""
         if not tag:
             continue
         if tag == "br":
@@ -99,14 +117,14 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
             continue
         if tag not in INLINE:
             flush()
-        if m[2]:
+        if m[3]:
             at = here
             while at.parent is not None and at.tag != tag:
                 if at.tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "body", "html", "article", "main", "div"):
                     break
                 at = at.parent
             if at.parent is not None and at.tag == tag:
-                close(at.parent)
+                here = at.parent
             continue
         if tag in VOID:
             continue
@@ -118,84 +136,80 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
                     found = at
                 at = at.parent
             if found is not None:
-                close(found.parent)
+                here = found.parent
         order += 1
-        here = _element(tag, m[4], here, order)
-    if not here.skip and last < len(page):
+        said = m[5]
+        here = _Element(tag, {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(said)} if said and not said.isspace() else {}, here, order)
+    if last < len(page):
         text.append(page[last:])
     flush()
     return out
 
 
+def path_scores(found: list[tuple[str, int, int]]) -> tuple[dict[str, float], float]:
+    """From blocks' (path, length, punctuation): each path's fused ratio, and the standard deviation over the blocks."""
+    sums: dict[str, list[int]] = {}
+    for path, length, marks in found:
+        own = sums.setdefault(path, [0, 0, 0])
+        own[0], own[1], own[2] = own[0] + length, own[1] + marks, own[2] + 1
+    ratios = np.array([[sums[p][0] / sums[p][2], 1 + sums[p][1] / sums[p][2]] for p, _, _ in found])
+    smooth = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
+    smooth = KERNEL[0] * smooth[:-2] + KERNEL[1] * smooth[1:-1] + KERNEL[2] * smooth[2:]
+    fused = smooth[:, 0] * smooth[:, 1]
+    total: dict[str, float] = dict.fromkeys(sums, 0.0)
+    for (path, _, _), f in zip(found, fused.tolist(), strict=True):
+        total[path] += f
+    return {p: total[p] / sums[p][2] for p in sums}, float(fused.std())
+
+
 def main_text(page: str | None, share: float = 0.5) -> str:
     found = blocks(page or "")
-    if not found:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for at, said in found:
-        sums = paths.setdefault(at.path, [0.0, 0.0, 0.0])
-        sums[0] += len(said)
-        sums[1] += 1 + len(PUNCTUATION.findall(said))
-        sums[2] += 1
-    sums = np.array(list(paths.values()))
-    kernel = np.array([0.1, 0.8, 0.1])
-    smooth = [np.convolve(np.pad(sums[:, i] / sums[:, 2], 1, mode="edge"), kernel, mode="valid") for i in (0, 1)]
-    fused = smooth[0] * smooth[1]
-    chosen = {p for p, f in zip(paths, fused, strict=True) if f >= share * fused.std()}
-    # What the chosen paths' blocks weigh, gathered in every element around them.
-    weight: dict[int, float] = {}
-    inside: dict[int, _Element] = {}
-    score = dict(zip(paths, fused, strict=True))
-    total = 0.0
+    whole = 0
     for at, said in found:
-        if at.path not in chosen:
-            continue
-        w = len(said) * score[at.path] ** 0.5
-        total += w
-        while at is not None:
-            weight[at.order] = weight.get(at.order, 0.0) + w
-            inside[at.order] = at
-            at = at.parent
-    regions = [e for e in inside.values() if e.tag in REGIONS and not _within(e.parent, REGIONS)]
-    if regions:
-        most = max(weight[e.order] for e in regions)
-        roots = {e.order for e in regions if weight[e.order] >= 0.25 * most}
+        whole += len(said)
+        for e in at.up():
+            e.size += len(said)
+    # An element that holds most of the page is no aside, whatever its class says; tags and roles don't err.
+    passed: dict[int, bool] = {}
+
+    def aside(e: _Element) -> bool:
+        if e.order not in passed:
+            told = e.aside and (e.tag in ASIDE or 2 * e.size <= whole)
+            passed[e.order] = told or (e.parent is not None and aside(e.parent))
+        return passed[e.order]
+
+    kept = [(at, said) for at, said in found if not aside(at)]
+    if not kept:
+        return ""
+    scores, spread_of = path_scores([(at.path, len(said), len(PUNCTUATION.findall(said))) for at, said in kept])
+    nodes = [(at, len(said)) for at, said in kept if scores[at.path] >= share * spread_of]
+    regions = [[e.order for e in at.up() if e.tag in REGIONS][-1:] for at, _ in nodes]
+    if regions and 2 * sum(n for (_, n), r in zip(nodes, regions, strict=True) if r) >= sum(n for _, n in nodes):
+        roots = {o for r in regions for o in r}
     else:
-        # The deepest element around nine tenths of it.
-        roots = {max((e for e in inside.values() if weight[e.order] >= 0.9 * total), key=lambda e: (_depth(e), e.order)).order}
-        only = inside[next(iter(roots))]
-        while only.tag in ("p", "b", "li") and only.parent is not None:
-            only = only.parent
-        roots = {only.order}
-    return "\n".join(said for at, said in found if _any(at, roots))
-
-
-def _within(e: _Element | None, tags: frozenset[str]) -> bool:
-    while e is not None:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
-
-
-def _any(e: _Element | None, orders: set[int]) -> bool:
-    while e is not None:
-        if e.order in orders:
-            return True
-        e = e.parent
-    return False
-
-
-def _depth(e: _Element) -> int:
-    n = 0
-    while e.parent is not None:
-        e, n = e.parent, n + 1
-    return n
+        roots = {_around([at for at, _ in nodes], [at for at, _ in kept]).order}
+    return "\n".join(said for at, said in kept if any(e.order in roots for e in at.up()))
+
+
+def _around(nodes: list[_Element], every: list[_Element]) -> _Element:
+    """The smallest element around all nodes, or its parent where that adds but headings."""
+    root = nodes[0]
+    above = {e.order for e in root.up()}
+    for at in nodes[1:]:
+        near = next(e for e in at.up() if e.order in above)
+        if near is not root:
+            root, above = near, {e.order for e in near.up()}
+    while root.parent is not None:
+        more = [list(at.up()) for at in every]
+        if not all(any(e.tag in HEADINGS for e in up) for up in more if root.parent in up and root not in up):
+            break
+        root = root.parent
+    return root
 
 
 def extract(df: DataFrame, page: str = "html", into: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep) and the main text."""
-    names = [c for c in (df.columns if keep is None else keep) if c != into]
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{page}`").cast("string").alias("_page_to_read"))
     schema = rows.drop("_page_to_read").schema.add(into, "string")
 
@@ -204,4 +218,4 @@ def extract(df: DataFrame, page: str = "html", into: str = "text", keep: list[st
             texts = [main_text(p) for p in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*names, into])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
