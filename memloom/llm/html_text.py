@@ -77,12 +77,13 @@ def told_aside(tag: str, attributes: dict[str, str]) -> bool:
 class _Element:
     __slots__ = ("aside", "inline", "order", "parent", "path", "size", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str], parent: _Element | None, order: int) -> None:
+    def __init__(self, tag: str, attributes: dict[str, str], parent: _Element | None, order: int, paths: dict[tuple[int, str], int]) -> None:
         self.tag, self.parent, self.order, self.size = tag, parent, order, 0
         self.inline = tag in INLINE
         own = attributes.get("class", "").lower().split()
         name = f"{tag}.{own[0]}" if own else tag
-        self.path = tag if parent is None else parent.path if self.inline else f"{parent.path}/{name}"
+        # A path's number: of its parent's number and its last name.
+        self.path = 0 if parent is None else parent.path if self.inline else paths.setdefault((parent.path, name), len(paths) + 1)
         self.aside = parent is not None and told_aside(tag, attributes)
 
     def up(self) -> Iterator[_Element]:
@@ -94,7 +95,8 @@ class _Element:
 
 def blocks(page: str) -> list[tuple[_Element, str]]:
     """The element and text of every block, in page order."""
-    here = _Element("", {}, None, 0)
+    paths: dict[tuple[int, str], int] = {}
+    here = _Element("", {}, None, 0, paths)
     out: list[tuple[_Element, str]] = []
     text: list[str] = []
     last, order = 0, 0
@@ -139,16 +141,16 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
                 here = found.parent
         order += 1
         said = m[5]
-        here = _Element(tag, {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(said)} if said and not said.isspace() else {}, here, order)
+        here = _Element(tag, {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(said)} if said and not said.isspace() else {}, here, order, paths)
     if last < len(page):
         text.append(page[last:])
     flush()
     return out
 
 
-def path_scores(found: list[tuple[str, int, int]]) -> tuple[dict[str, float], float]:
+def path_scores(found: list[tuple[int, int, int]]) -> tuple[dict[int, float], float]:
     """From blocks' (path, length, punctuation): each path's fused ratio, and the standard deviation over the blocks."""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for path, length, marks in found:
         own = sums.setdefault(path, [0, 0, 0])
         own[0], own[1], own[2] = own[0] + length, own[1] + marks, own[2] + 1
@@ -156,7 +158,7 @@ def path_scores(found: list[tuple[str, int, int]]) -> tuple[dict[str, float], fl
     smooth = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
     smooth = KERNEL[0] * smooth[:-2] + KERNEL[1] * smooth[1:-1] + KERNEL[2] * smooth[2:]
     fused = smooth[:, 0] * smooth[:, 1]
-    total: dict[str, float] = dict.fromkeys(sums, 0.0)
+    total: dict[int, float] = dict.fromkeys(sums, 0.0)
     for (path, _, _), f in zip(found, fused.tolist(), strict=True):
         total[path] += f
     return {p: total[p] / sums[p][2] for p in sums}, float(fused.std())
@@ -172,11 +174,16 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     # An element that holds most of the page is no aside, whatever its class says; tags and roles don't err.
     passed: dict[int, bool] = {}
 
-    def aside(e: _Element) -> bool:
-        if e.order not in passed:
-            told = e.aside and (e.tag in ASIDE or 2 * e.size <= whole)
-            passed[e.order] = told or (e.parent is not None and aside(e.parent))
-        return passed[e.order]
+    def aside(e: _Element | None) -> bool:
+        chain = []
+        while e is not None and e.order not in passed:
+            chain.append(e)
+            e = e.parent
+        told = e is not None and passed[e.order]
+        for x in reversed(chain):
+            told = told or (x.aside and (x.tag in ASIDE or 2 * x.size <= whole))
+            passed[x.order] = told
+        return told
 
     kept = [(at, said) for at, said in found if not aside(at)]
     if not kept:
