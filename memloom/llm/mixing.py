@@ -8,6 +8,8 @@ target. The choice hangs on the seed, doc_id and size alone, so reruns agree. Da
 most 65,536 partial sums are ever sorted, whatever its number of documents, and the water level is found from a few
 global sums.
 
+No row is taken more than max_epochs times (rounded up).
+
 Defined cases: a null source is a source of its own, last in order; null and empty texts have size 0; repeated rows share
 one decision; rows without doc_id are told apart by their size only; an empty table gives an empty table; extra columns of
 any name are kept by `mix` and ignored by `mix_plan`.
@@ -81,10 +83,10 @@ def _thresholds(slim: DataFrame, share: float, max_epochs: float, weights: Seque
     return cut(both.select("a.*", F.coalesce("b.last", F.lit(-1)).alias("last")))
 
 
-def _copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, limits: DataFrame, max_epochs: float) -> DataFrame:
     """rows have source and bucket; adds source_size, target and copies."""
     both = rows.alias("a").join(limits.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    copies = F.col("b.whole") + F.when(F.col("a.bucket") <= F.col("b.last"), 1).otherwise(0)
+    copies = F.least(F.col("b.whole") + F.when(F.col("a.bucket") <= F.col("b.last"), 1).otherwise(0), F.lit(math.ceil(max_epochs)))
     return both.select("a.*", "b.source_size", "b.target", copies.cast("long").alias("copies"))
 
 
@@ -96,7 +98,7 @@ def _slim(df: DataFrame, doc_id: str, source: str, text: str, seed: str) -> Data
 def mix_plan(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: Sequence[float] = WEIGHTS, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, source, size, source_size, target, copies, taken."""
     slim = cut(_slim(df, doc_id, source, text, seed))
-    out = _copies(slim, _thresholds(slim, share, max_epochs, weights))
+    out = _copies(slim, _thresholds(slim, share, max_epochs, weights), max_epochs)
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop("bucket")
 
 
@@ -105,6 +107,5 @@ def mix(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: Seq
     limits = _thresholds(cut(_slim(df, doc_id, source, text, seed)), share, max_epochs, weights)
     size = words(F.col(text))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source).alias("source"), bucket(F.col(doc_id), size, seed).alias("bucket"))
-    most = math.floor(max_epochs) + 1
-    again = F.explode(F.array_repeat(F.lit(True), F.least(F.col("copies"), F.lit(most)).cast("int")))
-    return _copies(rows, limits).select("row", again).select("row.*")
+    again = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
+    return _copies(rows, limits, max_epochs).select("row", again).select("row.*")
