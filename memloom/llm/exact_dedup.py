@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, spread
 
 #: Bound on verified winners, and the summary's counters.
 MAX_HOT, COUNTERS = 256, 4096
@@ -33,7 +33,7 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_hot: i
     row_id tells repeated rows apart; by default it is drawn here, in a slim table that is written once.
     """
     slim = cut(
-        df.select(
+        spread(df).select(
             F.col(doc_id).alias("doc_id"),
             (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"),
             F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"),

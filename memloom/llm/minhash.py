@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 from .components import components
 
 BANDS, ROWS, CIRCLE, SEED = 40, 6, 1 << 20, 20_240
@@ -103,7 +103,7 @@ def _sketch(df: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     sigs.append(sig.astype(np.uint8).tobytes() if sig is not None else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "class_key", "keys", "sig"])
 
-    return df.mapInArrow(run, f"doc_id {kind}, n_shingles long, class_key binary, keys array<long>, sig binary")
+    return spread(df).mapInArrow(run, f"doc_id {kind}, n_shingles long, class_key binary, keys array<long>, sig binary")
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:

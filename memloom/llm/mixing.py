@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut
+from .common import WORD, cut, spread
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -91,7 +91,8 @@ def _copies(rows: DataFrame, limits: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def _slim(df: DataFrame, doc_id: str, source: str, text: str, seed: str) -> DataFrame:
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    texts = spread(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    rows = texts.select("doc_id", "source", words(F.col("text")).alias("size"))
     return rows.withColumn("bucket", bucket(F.col("doc_id"), F.col("size"), seed))
 
 
@@ -106,6 +107,6 @@ def mix(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: Seq
     """The rows of df, each as often as the mix takes it, with all their columns."""
     limits = _thresholds(cut(_slim(df, doc_id, source, text, seed)), share, max_epochs, weights)
     size = words(F.col(text))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source).alias("source"), bucket(F.col(doc_id), size, seed).alias("bucket"))
+    rows = spread(df).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source).alias("source"), bucket(F.col(doc_id), size, seed).alias("bucket"))
     again = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
     return _copies(rows, limits, max_epochs).select("row", again).select("row.*")
