@@ -31,7 +31,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,6 +111,19 @@ class Index:
     prior: float = 0.0
     empty: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    _shared: Broadcast | None = None
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The index as a broadcast, made once, with numbers of four bytes; `steps` are not in it."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_shared": None, "steps": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {n: state[n].astype(np.float64) for n in ("weights", "tops", "values", "matrix")})
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weights[terms]
@@ -163,8 +177,8 @@ class Index:
         w = np.array([1 / (1.05 - c) for _, c in near])
         return float((w @ self.toxic[[p for p, _ in near]] + self.prior) / (w.sum() + 1))
 
-    def calibrated(self, vote: float) -> float:
-        return min(1.0, max(0.0, float(np.interp(vote, *self.steps))))
+    def calibrated(self, vote: float, steps: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+        return min(1.0, max(0.0, float(np.interp(vote, *(steps or self.steps)))))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,10 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
 
 def _votes(made: DataFrame, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each example's vote by the others, and its label."""
-    held = made.sparkSession.sparkContext.broadcast((index, {x: i for i, x in enumerate(index.ids.tolist())}))
+    held = index.shared(made.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, place = held.value
+        x = held.value
+        place = {own: i for i, own in enumerate(x.ids.tolist())}
         for b in batches:
             votes, toxic = [], []
             for own, label, terms, counts in zip(*[b.column(c).to_pylist() for c in ("id", "toxic", "terms", "counts")], strict=True):
@@ -277,7 +292,11 @@ def build(examples: pa.Table, block: int = 64, relevance: bool = True) -> Index:
     own = ids[order]
     rank = np.empty(len(order), np.int64)
     rank[sorted(range(len(order)), key=lambda i: own[i])] = np.arange(len(order))
-    index = Index(dict(zip(vocabulary, range(len(vocabulary)), strict=True)), weights, own, toxic[order], block, entries, (at[starts] // block).astype(np.int32), tops, np.append(starts, len(term)), at.astype(np.int32), w, rank, line, matrix)
+    index = Index(
+        terms=dict(zip(vocabulary, range(len(vocabulary)), strict=True)), weights=weights, ids=own, toxic=toxic[order], block=block,
+        entries=entries.astype(np.int32), blocks=(at[starts] // block).astype(np.int32), tops=np.nextafter(tops.astype(np.float32), np.float32(2)),
+        postings=np.append(starts, len(term)).astype(np.int32), places=at.astype(np.int32), values=w.astype(np.float32), rank=rank, row=line.astype(np.int32), matrix=matrix.astype(np.float32),
+    )
     if total:
         index.prior = float((toxic.sum() + 0.5) / (total + 1))
         index.empty = float((toxic[size == 0].sum() + 0.5) / ((size == 0).sum() + 1))
@@ -286,7 +305,7 @@ def build(examples: pa.Table, block: int = 64, relevance: bool = True) -> Index:
 
 def score(df: DataFrame, index: Index, k: int = 16, text: str = "text", names: tuple[str, str] = ("score", "evidence"), keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those in keep), score, and the neighbours as array<struct<id, cosine, toxic>>."""
-    held = df.sparkSession.sparkContext.broadcast(index)
+    held, steps = index.shared(df.sparkSession), index.steps
     taken = {n.lower() for n in names}
     rows = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c.lower() not in taken], F.col(f"`{text}`").cast("string").alias("_text_to_score"))
     kept = rows.schema.fields[:-1]
@@ -306,7 +325,7 @@ def score(df: DataFrame, index: Index, k: int = 16, text: str = "text", names: t
                 base = x.common(vectors) if len(x.ids) else None
                 for i, (terms, w) in enumerate(vectors):
                     near = x.nearest(terms, w, k, base=base[i]) if len(terms) else []
-                    scores.append(x.calibrated(x.vote(near)) if near else x.empty)
+                    scores.append(x.calibrated(x.vote(near), steps) if near else x.empty)
                     evidence.append([{"id": x.ids[p], "cosine": c, "toxic": int(x.toxic[p])} for p, c in near])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, shape)], [*[f.name for f in kept], *names])
 
