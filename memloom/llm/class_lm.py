@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,6 +186,22 @@ def common_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return [(bytes(r["word"]), r["n"]) for r in counts.filter(level >= lowest).select("word", "n").collect()]
 
 
+class Numbers(dict):
+    """Numbers of words: those given, and 1, 2 ... for others as they come."""
+
+    def __init__(self, given: dict[bytes, int]) -> None:
+        super().__init__(given)
+        self.given, self.new = given, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self.new)
+        return n
+
+    def forget(self) -> None:
+        self.__init__(self.given)
+
+
 def neighbours(texts: DataFrame, items: dict[bytes, int], classes: np.ndarray) -> DataFrame:
     """Of every word that isn't an item, how often it has a class before and after it: key, left, right, n. A row counts both
     sides, or one with the other at -1, whichever makes fewer rows."""
@@ -193,11 +210,11 @@ def neighbours(texts: DataFrame, items: dict[bytes, int], classes: np.ndarray) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its, cls = held.value
-        get = its.get
-        new: dict[bytes, int] = {}
+        number = Numbers({w: -i for w, i in its.items()})
         parts: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
+            new = number.new
             if not new:
                 return
             keys = np.fromiter(map(word_key, new), np.int64, len(new))
@@ -214,7 +231,7 @@ def neighbours(texts: DataFrame, items: dict[bytes, int], classes: np.ndarray) -
                 np.concatenate([right[p], np.where(side < k, -1, side - k)]).astype(np.int16),
                 np.concatenate([n_both[p], n_sides[q]]),
             ]
-            new.clear()
+            number.forget()
             parts.clear()
             for i in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["key", "left", "right", "n"])
@@ -223,16 +240,14 @@ def neighbours(texts: DataFrame, items: dict[bytes, int], classes: np.ndarray) -
             for start in range(0, whole.num_rows, 500):
                 ids = [-LAST]
                 for t in whole.column(0).slice(start, 500).cast(pa.binary()).to_pylist():
-                    for w in _words(t):
-                        i = get(w)
-                        ids.append(-i if i is not None else new.setdefault(w, len(new)) + 1)
+                    ids.extend(map(number.__getitem__, _words(t)))
                     ids.append(-LAST)
                 # Items are numbers below 0, other words from 1.
                 at = np.array(ids, np.int64)
                 known = np.where(at < 0, cls[np.maximum(-at, 0)], OPEN)
                 place = np.flatnonzero(at > 0)
                 parts.append(((at[place] - 1) * k + known[place - 1]) * k + known[place + 1])
-                if len(new) > HELD:
+                if len(number.new) > HELD:
                     yield from out()
         yield from out()
 
@@ -387,22 +402,28 @@ def classed(rows: DataFrame, model: Model) -> DataFrame:
     found = rare.groupBy("row_id").agg(F.collect_list(F.struct("i", "class", "n")).alias("found"))  # a text's words
     both = near.drop("keys").join(found.select(F.col("row_id"), F.col("found.i").alias("i"), F.col("found.class").alias("class"), F.col("found.n").alias("c")), "row_id", "left")
 
+    def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of a column of lists, and where each row's begin (a null has none)."""
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                known, sums, seqs = [], [], []
-                for n, k, s, raw, times, i, cls, c in zip(*[b.column(x).to_pylist() for x in ("n", "known", "logs", "seq", "times", "i", "class", "c")], strict=True):
+                times, first = numbers(b.column("times"))
+                (i, own), (cls, _), (c, _) = (numbers(b.column(x)) for x in ("i", "class", "c"))
+                row = np.repeat(np.arange(b.num_rows), np.diff(own))
+                count, code = np.zeros(len(times), np.int64), np.full(len(times), OPEN, np.int64)
+                count[first[row] + i] = c
+                code[first[row] + i] = np.where(c == 1, cls + ONCE, cls)
+                rows = np.repeat(np.arange(b.num_rows), np.diff(first))
+                known = b.column("known").to_numpy() + np.bincount(rows, times * (count > 0), minlength=b.num_rows).astype(np.int64)
+                sums = b.column("logs").to_numpy() + np.bincount(rows, times * np.log10(count + SMOOTH), minlength=b.num_rows)
+                seqs = []
+                for j, (n, raw) in enumerate(zip(b.column("n").to_pylist(), b.column("seq").to_pylist(), strict=True)):
                     seq = np.frombuffer(raw, "<u2" if len(raw) == 2 * (n - 1) else "<u4").astype(np.int64)
-                    code, count = np.full(256 + len(times), OPEN, np.int64), np.zeros(len(times), np.int64)
-                    code[:256] = np.arange(256)
-                    if i:
-                        code[256 + np.array(i)] = np.where(np.array(c) == 1, np.array(cls) + ONCE, cls)
-                        count[i] = c
-                    times = np.array(times, np.int64)
-                    known.append(k + int(times[count > 0].sum()))
-                    sums.append(s + float((times * np.log10(count + SMOOTH)).sum()))
-                    seqs.append(code[seq].astype(np.uint8).tobytes() + bytes([LAST]))
+                    seqs.append(np.concatenate([np.arange(256), code[first[j] : first[j + 1]]])[seq].astype(np.uint8).tobytes() + bytes([LAST]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("train"), b.column("n"), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(seqs, pa.binary())], ["doc_id", "train", "n_tokens", "n_known", "logs", "seq"])
 
     out = cut(both.mapInArrow(finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, logs double, seq binary"))

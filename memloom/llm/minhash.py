@@ -297,5 +297,5 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, bands: int = B
     twice = known.join(several, "doc_id", "left_semi").join(classes.select("class_key", "rep"), "class_key").filter("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(linked.unionByName(more).unionByName(twice))
     final = classes.select("class_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("root", "rep").alias("root"))
-    out = sketch.join(final, "class_key", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    out = sketch.join(final, "class_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -166,24 +166,6 @@ def test_tokens_by_word_are_the_tokenizers(spark):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_nearest_examples_are_exact(spark):
-    rng = np.random.default_rng(3)
-    terms = {f"t{i}": i for i in range(30)}
-    ix = toxicity.Index(terms, np.linspace(1, 3, 30), np.arange(200).astype(str).astype(object), np.zeros(200), 8, [], np.zeros((30, 25)))
-    own = [ix.vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(30, 4, replace=False)}) for _ in range(200)]
-    dense = np.zeros((200, 30))
-    for i, (at, w) in enumerate(own):
-        dense[i, at] = w
-        ix.tops[at, i // 8] = np.maximum(ix.tops[at, i // 8], w)
-    ix.postings = [(np.flatnonzero(dense[:, t]), dense[dense[:, t] > 0, t]) for t in range(30)]
-    for at, w in own[:40]:
-        q = np.zeros(30)
-        q[at] = w
-        cosine = np.round(dense @ q, 12)
-        want = sorted((i for i in range(200) if cosine[i] > 0), key=lambda i: (-cosine[i], i))[:5]
-        assert [p for p, _ in ix.nearest(at, w, 5)] == want
-
-
 def test_toxicity_learns_from_held_in_labels(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(50)]
