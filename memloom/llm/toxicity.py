@@ -40,7 +40,7 @@ from .common import cut, spread
 
 EDGES = ".,;:!?#$%&*|<>()[]{}\"'`~^_=+-/\\@"
 START = 5
-MAX_LABELLED = 4_000
+MAX_LABELLED = 3_200
 COMMON = 512
 #: Words that a worker keeps at most.
 KNOWN_WORDS = 200_000
