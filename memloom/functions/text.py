@@ -30,10 +30,14 @@ def sanitize(text: Column) -> Column:
 
 
 def clip(text: Column, most: int = 200) -> Column:
-    """The first `most` characters, cut back to the last space if that leaves over 60 %."""
-    head = F.substring(text, 1, most)
+    """The first `most` characters, cut back to the last space in or right after them if that leaves over 60 %."""
+    return clip_to(text, F.lit(most))
+
+
+def clip_to(text: Column, most: Column) -> Column:
+    head = F.substring(text, F.lit(1), (most + 1).cast("int"))
     space = F.length(head) - F.instr(F.reverse(head), " ")
-    kept = F.when((F.instr(head, " ") > 0) & (space > most * 0.6), F.substring(head, F.lit(1), space)).otherwise(head)
+    kept = F.when((F.instr(head, " ") > 0) & (space > most * 0.6), F.substring(head, F.lit(1), space)).otherwise(F.substring(text, F.lit(1), most.cast("int")))
     return F.when(F.length(text) <= most, text).otherwise(kept)
 
 
@@ -45,20 +49,37 @@ def clip_sentence(text: Column, most: int = 200) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def first_line(text: Column, most: int = 200) -> Column:
+    return clip(F.element_at(F.split(text, "\n"), 1), most)
 
 
 def snippet(text: Column, term: str, radius: int = 60) -> Column:
     at = F.instr(F.lower(text), term.lower())
     start, end = F.greatest(F.lit(1), at - radius), F.least(F.length(text), at + len(term) - 1 + radius)
-    body = F.trim(F.regexp_replace(F.substring(text, start, end - start + 1), r"\s+", " "))
+    body = F.substring(text, start, end - start + 1)
     return F.when(at > 0, F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(end < F.length(text), "...").otherwise("")))
 
 
 def normalize(text: Column) -> Column:
     """Contractions spelt out, lower case, letters and digits only, single spaces, 600 characters at most."""
-    full = reduce(lambda c, p: F.regexp_replace(c, rf"(?i)\b{p[0]}\b", p[1]), CONTRACTIONS.items(), text)
-    plain = F.regexp_replace(F.lower(full), r"[^a-z0-9\s]", " ")
+    low = F.lower(text)
+    # One pass for each ending, and none over texts without an apostrophe.
+    groups: dict[tuple[str, str], list[str]] = {}
+    for short, full in CONTRACTIONS.items():
+        stem, end = short.split("'")
+        base = stem.removesuffix("n") if end == "t" else stem
+        if full.startswith(base):
+            groups.setdefault((short[len(base) :], full[len(base) :]), []).append(base)
+        else:
+            groups.setdefault((short, full), []).append("")
+    spelt = low
+    for (end, tail), stems in groups.items():
+        spelt = F.regexp_replace(spelt, rf"\b({'|'.join(stems)}){end}\b", f"$1{tail}")
+    full = F.when(F.contains(low, F.lit("'")), spelt).otherwise(low)
+    plain = F.regexp_replace(full, r"[^a-z0-9\s]", " ")
     return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, NORM_CAP)
 
 
@@ -96,9 +117,11 @@ def error_class(message: Column) -> Column:
     return F.when(sure, "deterministic").when(message.rlike(f"(?i){RETRYABLE}"), "retryable").otherwise("other")
 
 
-def short_path(path: Column) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.when(F.size(parts) <= 3, path).otherwise(F.array_join(F.slice(parts, -3, 3), "/"))
+def short_path(path: Column, cwd: str = "/work") -> Column:
+    """./ and the rest under the working directory, else .../ and the last three parts of more; slashes forward."""
+    plain, here = F.replace(path, F.lit("\\"), F.lit("/")), cwd.replace("\\", "/")
+    parts = F.split(plain, "/")
+    return F.when(F.startswith(plain, F.lit(f"{here}/")), F.concat(F.lit("."), F.substring(plain, F.lit(len(here) + 1), F.length(plain)))).when(F.size(parts) > 3, F.concat(F.lit(".../"), F.array_join(F.slice(parts, -3, 3), "/"))).otherwise(plain)
 
 
 def relative_time(age_minutes: Column) -> Column:

@@ -63,10 +63,10 @@ def usage_as_of(entries: DataFrame) -> DataFrame:
 
 
 def markers(entries: DataFrame) -> DataFrame:
-    """Per session: last covered positions of observations and drops, and the earlier of the two (null if one lacks)."""
+    """Per session: last covered positions of observations and drops, and the earlier of the two (the other where one lacks)."""
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("pos")))
     out = entries.groupBy("session_id").agg(last("observation").alias("observed"), last("drop").alias("dropped"))
-    return out.withColumn("earlier", F.when(F.col("observed").isNotNull() & F.col("dropped").isNotNull(), F.least("observed", "dropped")))
+    return out.withColumn("earlier", F.least("observed", "dropped"))
 
 
 def tokens_since(entries: DataFrame, kind: str) -> DataFrame:
@@ -108,16 +108,16 @@ def prefix_budget(entries: DataFrame, most: int) -> DataFrame:
 
 
 def skip_budget(rows: DataFrame, most: int) -> DataFrame:
-    """By falling score, rows that still fit, in order of pos: (session_id, pos)."""
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "tokens")))
+    """By falling score, rows that still fit, in order of pos: (session_id, pos). The fold carries a number and a mark a row."""
+    folded = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "tokens"))).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x["tokens"] <= most
-        return F.struct((acc["used"] + F.when(fits, x["tokens"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["pos"]))).otherwise(acc["kept"]).alias("kept"))
+        return F.struct((acc["used"] + F.when(fits, x["tokens"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["bits"], F.when(fits, "1").otherwise("0")).alias("bits"))
 
-    folded = rows.groupBy("session_id").agg(F.aggregate(ranked, state, step)["kept"].alias("kept"))
-    return folded.select("session_id", F.explode("kept").alias("pos"))
+    marks = F.aggregate("rows", F.struct(F.lit(0).cast("long").alias("used"), F.lit("").alias("bits")), step)["bits"]
+    each = folded.withColumn("bits", marks).select("session_id", "bits", F.posexplode("rows").alias("i", "x"))
+    return each.filter(F.substring("bits", F.col("i") + 1, F.lit(1)) == "1").select("session_id", F.col("x.pos").alias("pos"))
 
 
 def latched_budget(outputs: DataFrame, most: int) -> DataFrame:
@@ -127,15 +127,15 @@ def latched_budget(outputs: DataFrame, most: int) -> DataFrame:
     return outputs.withColumn("over", over).withColumn("omitted", F.max("over").over(newest)).drop("over")
 
 
-def drop_candidates(observed: DataFrame, most: int) -> DataFrame:
-    """Per session the first `most` to drop: best covered, least relevant (tokens), oldest."""
-    order = session().orderBy(F.desc("support"), "tokens", "pos", "key")
-    return observed.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
-
-
 def chain_status(segments: DataFrame) -> DataFrame:
-    """segments: session_id, pos, seq. Per session: empty never occurs; contiguous, gap, or restart of the sequence."""
-    step = F.col("seq") - F.lag("seq").over(session().orderBy("pos"))
-    rows = segments.withColumn("step", step)
-    bad = F.when(F.max(F.when(F.col("step") <= 0, 1)) == 1, "restart").when(F.max(F.when(F.col("step") > 1, 1)) == 1, "gap")
-    return rows.groupBy("session_id").agg(F.coalesce(bad, F.when(F.min("seq") > 1, "late-start"), F.lit("contiguous")).alias("status"), F.count("*").alias("segments"))
+    """segments: session_id, pos, seq (null: no append segment), start. Per session, walking back from the newest to the chain's
+    start: ok, latest-not-append, invalid-chain-entry, invalid-sequence or missing-chain-start, and the segments up to there."""
+    back = session().orderBy(F.desc("pos"))
+    rows = segments.withColumn("i", F.row_number().over(back) - 1).withColumn("newest", F.first("seq").over(back))
+    wrong = F.col("seq").isNull() | (F.col("seq") != F.col("newest") - F.col("i")) | (F.col("start") & (F.col("seq") != 1)) | (~F.col("start") & (F.col("seq") <= 1))
+    ends = rows.withColumn("wrong", wrong).filter(F.col("wrong") | F.col("start"))
+    # The walk ends at the first entry that is wrong or starts the chain.
+    first = ends.groupBy("session_id").agg(F.min_by(F.struct("i", "seq", "wrong"), "i").alias("e"))
+    all_ = rows.groupBy("session_id").agg(F.count("*").alias("n"))
+    status = F.when(F.col("e").isNull(), "missing-chain-start").when(~F.col("e.wrong"), "ok").when(F.col("e.seq").isNull() & (F.col("e.i") == 0), "latest-not-append").when(F.col("e.seq").isNull(), "invalid-chain-entry").otherwise("invalid-sequence")
+    return all_.join(first, "session_id", "left").select("session_id", status.alias("status"), F.when(status == "ok", F.col("e.i") + 1).otherwise(0).cast("long").alias("segments"))

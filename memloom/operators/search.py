@@ -73,5 +73,5 @@ def page(ranked_hits: DataFrame, number: int, size: int = PAGE) -> DataFrame:
 
 
 def recall(docs: DataFrame, query: str, order: list[str], number: int | None = None) -> DataFrame:
-    out = ranked(bm25(docs, query), len(query_terms(query)), order)
+    out = ranked(bm25(docs, query), len({t.lower() for t in query_terms(query)}), order)
     return out if number is None else page(out, number)

@@ -104,17 +104,17 @@ def e13(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("session_id", "island").agg(F.first("role").alias("role"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
 
 
-@query("e15_last_per_turn", "SELECT conv_id AS session_id, turn AS pos, (count(*) OVER (PARTITION BY conv_id))::BIGINT AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
-def e15(spark: SparkSession, sf: str) -> DataFrame:
-    by = W.partitionBy("session_id")
-    rows = S.messages(spark, sf).withColumn("n", F.count("*").over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("pos"))))
-    return rows.filter("r <= 3").select("session_id", "pos", "n")
-
-
 # --- scalar functions over documents --------------------------------------------------------------------------------
 
 _scalar("b02_sanitize", lambda: {"clean": T.sanitize(F.col("text"))}, {"clean": r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '\x1b\[[0-9;]*[a-zA-Z]', '', 'g'), '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"})
-_CLIP = "CASE WHEN length(text) <= 200 THEN text WHEN instr(left(text, 200), ' ') > 0 AND 200 - instr(reverse(left(text, 200)), ' ') > 120 THEN left(text, 200 - instr(reverse(left(text, 200)), ' ')) ELSE left(text, 200) END"
+
+
+def clip_sql(e: str, most: int) -> str:
+    head = f"left({e}, {most + 1})"
+    return f"CASE WHEN length({e}) <= {most} THEN {e} WHEN instr({head}, ' ') > 0 AND length({head}) - instr(reverse({head}), ' ') > {most * 0.6} THEN left({e}, length({head}) - instr(reverse({head}), ' ')) ELSE left({e}, {most}) END"
+
+
+_CLIP = clip_sql("text", 200)
 _ENDS = "'" + blocks.ENDS + "'"
 
 
@@ -133,19 +133,21 @@ def b03_filter_noise(spark: SparkSession, sf: str) -> DataFrame:
 _scalar("h01_clip", lambda: {"clipped": T.clip(F.col("text"))}, {"clipped": _CLIP})
 _END = r"length(regexp_extract(left(text, 200), '^([\s\S]*[.!?])(?:\s|$)', 1))"
 _scalar("h02_clip_sentence", lambda: {"clipped": T.clip_sentence(F.col("text"))}, {"clipped": f"CASE WHEN length(text) <= 200 THEN text WHEN {_END} >= 100 THEN left(text, {_END}) ELSE {_CLIP} END"})
-_scalar("h03_lines", lambda: {"n_lines": F.size(T.lines(F.col("text"))).cast("long"), "first_line": F.coalesce(F.try_element_at(T.lines(F.col("text")), F.lit(1)), F.lit(""))}, {"n_lines": "len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))", "first_line": "coalesce(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), '')"})
-_scalar("h04_snippet", lambda: {"snippet": T.snippet(F.col("text"), "thing")}, {"snippet": r"(SELECT CASE WHEN p > 0 THEN CASE WHEN p > 61 THEN '...' ELSE '' END || trim(regexp_replace(substr(text, greatest(1, p - 60), least(length(text), p + 64) - greatest(1, p - 60) + 1), '\s+', ' ', 'g')) || CASE WHEN p + 64 < length(text) THEN '...' ELSE '' END END FROM (SELECT instr(lower(text), 'thing') AS p))"})
+_scalar("h03_lines", lambda: {"n_lines": F.size(T.lines(F.col("text"))).cast("long"), "first_line": T.first_line(F.col("text"))}, {"n_lines": r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''))", "first_line": clip_sql("string_split(text, chr(10))[1]", 200)})
+_scalar("h04_snippet", lambda: {"snippet": T.snippet(F.col("text"), "thing")}, {"snippet": r"(SELECT CASE WHEN p > 0 THEN CASE WHEN p > 61 THEN '...' ELSE '' END || substr(text, greatest(1, p - 60), least(length(text), p + 64) - greatest(1, p - 60) + 1) || CASE WHEN p + 64 < length(text) THEN '...' ELSE '' END END FROM (SELECT instr(lower(text), 'thing') AS p))"})
 _scalar("h07_term_counts", lambda: {f"t{i}": c for i, c in enumerate(search.term_counts(F.col("text"), ["thing", "er.n", "the|and"]))}, {"t0": "len(regexp_extract_all(text, '(?i)thing'))", "t1": r"len(regexp_extract_all(text, '(?i)er\.n'))", "t2": "len(regexp_extract_all(text, '(?i)the|and'))"})
-_NORM = r"trim(left(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), 600), '')"
-_NORM = _NORM.removeprefix("trim(").removesuffix(", '')")
+_SPELT = "lower(text)"
+for _short, _full in T.CONTRACTIONS.items():
+    _SPELT = rf"regexp_replace({_SPELT}, '\b{_short.replace(chr(39), chr(39) * 2)}\b', '{_full}', 'g')"
+_NORM = rf"left(trim(regexp_replace(regexp_replace(CASE WHEN contains(text, chr(39)) THEN {_SPELT} ELSE lower(text) END, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), 600)"
 _scalar("h08_normalize", lambda: {"key": T.normalize(F.col("text"))}, {"key": _NORM})
 _scalar("h34_hash_id", lambda: {"id": T.hash_id(F.col("text")), "short": F.substring("text", 1, 10_000)}, {"id": "left(sha256(text), 12)", "short": "left(text, 10000)"})
 _scalar("h39_token_estimate", lambda: {"tokens": T.tokens(F.col("text"))}, {"tokens": "ceil(length(text) / 4)::BIGINT"})
 _ERR = r"""CASE WHEN regexp_matches(text, '(?i)unauthorized|HTTP\s+40[014]\b|status\s*:?\s*40[014]\b|error\s*:?\s*40[014]\b') OR (regexp_matches(text, '(?:^|[\s:([{=''"])(40[014]|403|422)\b') AND regexp_matches(text, '(?i)error|fail|missing|forbidden|denied|bad request|not found|unauthorized|invalid'))
  THEN 'deterministic' WHEN regexp_matches(text, '(?i)""" + T.RETRYABLE + "') THEN 'retryable' ELSE 'other' END"
 _scalar("h30_error_class", lambda: {"class": T.error_class(F.col("text"))}, {"class": _ERR})
-_BIG = "list_distinct(list_transform(range(1, greatest(length(left(text, 80)), 1)), lambda i: substr(left(text, 80), i, 2)))"
-_scalar("h14_bigrams", lambda: {"n_bigrams": F.size(T.bigrams(F.substring("text", 1, 80))).cast("long")}, {"n_bigrams": f"len({_BIG})"})
+_BIG = "list_distinct(list_transform(range(1, greatest(length(text), 1)), lambda i: substr(text, i, 2)))"
+_scalar("h14_bigrams", lambda: {"n_bigrams": F.size(T.bigrams(F.col("text"))).cast("long")}, {"n_bigrams": f"len({_BIG})"})
 
 
 @query("h13_levenshtein", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(CASE WHEN a.n_name = b.n_name THEN 1 ELSE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) END, 6) AS similarity FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey")
@@ -182,9 +184,12 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "pages").select("page_id", S.scope_dir(F.col("url")).alias("scope"))
 
 
-@query("h26_short_path", "WITH p AS (SELECT page_id, url, list_filter(string_split(url, '/'), lambda x: x <> '') AS a FROM pages) SELECT page_id, CASE WHEN len(a) <= 3 THEN url ELSE array_to_string(a[-3:], '/') END AS short FROM p")
+@query("h26_short_path", """WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/work/' || page_id || '/a/b.ts' WHEN 1 THEN url ELSE 'C:\\src\\' || page_id || '\\x\\y.ts' END AS path FROM pages), q AS (SELECT page_id, replace(path, '\\', '/') AS p FROM p)
+SELECT page_id, CASE WHEN starts_with(p, '/work/') THEN '.' || substr(p, 6) WHEN len(string_split(p, '/')) > 3 THEN '.../' || array_to_string(string_split(p, '/')[-3:], '/') ELSE p END AS short FROM q""")
 def h26(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "pages").select("page_id", T.short_path(F.col("url")).alias("short"))
+    n = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/work/"), n, F.lit("/a/b.ts"))).when(F.col("page_id") % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("C:\\src\\"), n, F.lit("\\x\\y.ts")))
+    return S.table(spark, sf, "pages").select("page_id", T.short_path(path).alias("short"))
 
 
 _NOW = "2024-06-01 00:00:00"
@@ -272,7 +277,7 @@ def c11(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.usage_as_of(S.ledger(spark, sf))
 
 
-@query("c22_markers", f"WITH {_LEDGER}, m AS (SELECT session_id, max(pos) FILTER (kind = 'observation') AS observed, max(pos) FILTER (kind = 'drop') AS dropped FROM ledger GROUP BY 1) SELECT *, CASE WHEN observed IS NOT NULL AND dropped IS NOT NULL THEN least(observed, dropped) END AS earlier FROM m")
+@query("c22_markers", f"WITH {_LEDGER}, m AS (SELECT session_id, max(pos) FILTER (kind = 'observation') AS observed, max(pos) FILTER (kind = 'drop') AS dropped FROM ledger GROUP BY 1) SELECT *, least(observed, dropped) AS earlier FROM m")
 def c22(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.markers(S.ledger(spark, sf))
 
@@ -337,28 +342,20 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.latched_budget(S.ledger(spark, sf).filter("kind = 'message'"), 400).select("session_id", "pos", "omitted")
 
 
-@query("e12_drop_candidates", f"WITH {_COVER} SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY support DESC, tokens, pos, key) AS rank FROM cover QUALIFY rank <= 5")
-def e12(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.drop_candidates(ledger.coverage(S.ledger(spark, sf)), 5)
-
-
-@query("e22_chain_status", f"""WITH {_LEDGER}, c AS (SELECT session_id, key % 9 AS seq, key % 9 - lag(key % 9) OVER (PARTITION BY session_id ORDER BY pos) AS step FROM ledger WHERE kind = 'compaction')
-SELECT session_id, CASE WHEN bool_or(step <= 0) THEN 'restart' WHEN bool_or(step > 1) THEN 'gap' WHEN min(seq) > 1 THEN 'late-start' ELSE 'contiguous' END AS status, count(*) AS segments FROM c GROUP BY 1""")
+@query("e22_chain_status", f"""WITH {_LEDGER}, c AS (SELECT session_id, pos, CASE WHEN tokens % 11 = 0 THEN NULL ELSE greatest(1, 3 - row_number() OVER (PARTITION BY session_id ORDER BY pos DESC)) + (tokens % 7 = 0)::INT END AS seq, tokens % 3 = 0 AS start FROM ledger WHERE kind = 'compaction'),
+r AS (SELECT *, row_number() OVER w - 1 AS i, first_value(seq) OVER w AS newest FROM c WINDOW w AS (PARTITION BY session_id ORDER BY pos DESC)),
+v AS (SELECT *, CASE WHEN seq IS NULL THEN CASE WHEN i = 0 THEN 'latest-not-append' ELSE 'invalid-chain-entry' END WHEN seq <> newest - i THEN 'invalid-sequence' WHEN start THEN CASE WHEN seq = 1 THEN 'ok' ELSE 'invalid-sequence' END WHEN seq <= 1 THEN 'invalid-sequence' END AS verdict FROM r)
+SELECT session_id, coalesce(arg_min(verdict, i) FILTER (verdict IS NOT NULL), 'missing-chain-start') AS status, CASE WHEN coalesce(arg_min(verdict, i) FILTER (verdict IS NOT NULL), '') = 'ok' THEN min(i) FILTER (verdict IS NOT NULL) + 1 ELSE 0 END::BIGINT AS segments FROM v GROUP BY 1""")
 def e22(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.ledger(spark, sf).filter("kind = 'compaction'")
-    return ledger.chain_status(rows.select("session_id", "pos", (F.col("key") % 9).alias("seq")))
-
-
-@query("i01_active_branch", f"""WITH RECURSIVE {_LEDGER}, t AS (SELECT session_id, pos, CASE WHEN pos > key % 3 THEN pos - 1 - key % 3 END AS parent FROM ledger),
-path AS (SELECT session_id, max(pos) AS pos, arg_max(parent, pos) AS parent, 0::BIGINT AS depth FROM t WHERE pos < 60 GROUP BY 1 UNION ALL SELECT t.session_id, t.pos, t.parent, p.depth + 1 FROM path p JOIN t ON t.session_id = p.session_id AND t.pos = p.parent)
-SELECT session_id, pos, depth FROM path""".replace("arg_max(parent, pos)", "last(parent ORDER BY pos)"))
-def i01(spark: SparkSession, sf: str) -> DataFrame:
-    return _branch(S.ledger(spark, sf).filter("pos < 60"))
+    back = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("pos")))
+    seq = F.when(F.col("tokens") % 11 != 0, F.greatest(F.lit(1), 3 - back) + (F.col("tokens") % 7 == 0).cast("int"))
+    return ledger.chain_status(rows.select("session_id", "pos", seq.alias("seq"), (F.col("tokens") % 3 == 0).alias("start")))
 
 
 @query("i01_whole_branch")
 def i01_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The branch of whole sessions. The SQL of i01_active_branch sees the first 60 entries of each only."""
+    """The branch of whole sessions; a recursive walk in SQL is too slow on the whole table, a test walks on a small one."""
     return _branch(S.ledger(spark, sf))
 
 
@@ -393,7 +390,7 @@ def d02(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.clusters(S.observations(spark, sf))
 
 
-@query("b14_viable_clusters", f"WITH {_CLUSTERS} SELECT rep_id, first_ord, relevance, round(CASE WHEN occurrences / distinct_sessions <= 1.5 THEN 1 ELSE 1 / (1 + 0.5 * log2(occurrences / distinct_sessions)) END, 6) AS penalty FROM clusters WHERE distinct_sessions >= 2 OR relevance IN ('high', 'critical') OR relevance = 'medium' AND length(key) >= 50")
+@query("b14_viable_clusters", f"WITH {_CLUSTERS} SELECT rep_id, first_ord, relevance, round(CASE WHEN occurrences / distinct_sessions <= 1.5 THEN 1 ELSE 1 / (1 + 0.15 * log2(occurrences / distinct_sessions)) END, 6) AS penalty FROM clusters WHERE distinct_sessions >= 2 OR relevance IN ('high', 'critical') OR relevance = 'medium' AND length(key) >= 50")
 def b14(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.clusters(S.observations(spark, sf))
     kept = rows.filter(corpus.viable(F.col("distinct_sessions"), F.lit(0), F.col("relevance"), F.col("key")))
@@ -406,7 +403,7 @@ def c15(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.suppressed_exactly(corpus.clusters(S.observations(spark, sf)), reflected).select("key", "first_ord", "rep_id")
 
 
-@query("c16_session_components")
+@query("i02_session_components")
 def c16(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions joined by compactions with one key."""
     rows = S.ledger(spark, sf).filter("kind = 'compaction'").select("session_id", "key").distinct()
@@ -437,3 +434,6 @@ def d19(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stage"), (F.col("o_orderkey") % 1000 + 500).cast("long").alias("est"), (F.floor(F.col("o_totalprice") / 100) + 1).alias("use"))
     out = tokens.calibration(rows, "est", "use", 1200, ["stage"])
     return out.withColumn("median_ratio", F.round("median_ratio", 6)).withColumn("churn", F.round("churn", 6))
+
+
+from . import more_queries as _more  # noqa: E402, F401  (it registers queries of its own)

@@ -144,7 +144,7 @@ def test_session_components_take_every_compaction(spark, tmp_path):
     bought = {(u, k) for u, t, k in rows if t == "purchase"}
     want = union_find([(u, v) for u, k in bought for v, j in bought if k == j])
     assert len(set(want.values())) > 3
-    assert {r.node: r.root for r in queries.QUERIES["c16_session_components"](spark, str(tmp_path)).collect()} == want
+    assert {r.node: r.root for r in queries.QUERIES["i02_session_components"](spark, str(tmp_path)).collect()} == want
 
 
 def test_components_of_random_links_match_union_find(spark):
