@@ -2,6 +2,11 @@
 
 STAGES: (name, function) pairs; a function takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns
 of documents; the last returns pieces with their places in sequences.
+
+Defined cases: null and empty texts are kept by the first stage unless texts without words are mostly labelled toxic, are one
+group of exact copies, are near copies of nothing, have size 0 in the mix, and are packed as one end token; repeated rows are
+exact copies; rows without doc_id stay, unless their text is a copy; extra columns of any name go through all stages but
+the last, which leaves them out; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,18 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import exact_dedup, minhash, mixing, packing, toxicity
-from memloom.llm.common import cut, read
+from memloom.llm.common import cut, free, read
 from memloom.llm.queries import tokenizer_path
 
-#: Documents that are toxic with a higher probability go.
-TOXIC = 0.5
+#: Documents of this probability or more are toxic, as op2_toxicity has it, and go.
+TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity is at most TOXIC. All labels may be learnt from."""
+    """Documents whose calibrated toxicity lies below TOXIC. All labels may be learnt from."""
     index = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, index, names=("_toxicity", "_evidence"))
-    return scored.filter(F.col("_toxicity") <= TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = free(docs, "toxicity"), free(docs, "evidence")
+    scored = toxicity.score(docs, index, names=names)
+    return scored.filter(F.col(names[0]) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, Jaccard of 0.8 or more), the smallest doc_id."""
     gone = minhash.near_duplicates(docs, n=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,10 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))))
+    """Distinct pairs of neighbouring characters; from the list of characters, as a substring is sought from the start each time."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda x, y: F.concat(x, y)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -91,7 +91,7 @@ def inferred_tier(reflections: DataFrame, observations: DataFrame) -> DataFrame:
     """Per reflection the highest tier of the observations that it rests on, medium if none is known."""
     each = reflections.select("session_id", F.col("id").alias("reflection"), F.explode_outer("supports").alias("id"))
     best = each.join(observations.select("session_id", "id", "relevance"), ["session_id", "id"], "left").groupBy("session_id", "reflection").agg(F.max(rank(F.col("relevance"))).alias("r"))
-    return best.select("session_id", "reflection", F.coalesce(F.element_at(F.array(*map(F.lit, TIERS)), F.col("r")), F.lit("medium")).alias("tier"))
+    return best.select("session_id", "reflection", F.coalesce(F.get(F.array(*map(F.lit, TIERS)), F.col("r") - 1), F.lit("medium")).alias("tier"))
 
 
 def inherited(observations: DataFrame, reflections: DataFrame) -> DataFrame:
