@@ -410,9 +410,12 @@ def e04(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.observation_scores(observed(spark, sf)[0], base).select("session_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("e06_newest_fitting")
+_LONGER = "f.used + CASE WHEN f.used > 0 THEN 1 ELSE 0 END + k.tokens"
+
+
+@query("e06_newest_fitting", f"""WITH RECURSIVE {_LEDGER}, k AS MATERIALIZED (SELECT session_id, pos, tokens, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS k FROM ledger WHERE kind = 'reflection'),
+f AS (SELECT session_id, k, pos, ceil(tokens / 4) <= 150 AS fits, CASE WHEN ceil(tokens / 4) <= 150 THEN tokens ELSE 0 END AS used FROM k WHERE k = 1 UNION ALL SELECT k.session_id, k.k, k.pos, ceil(({_LONGER}) / 4) <= 150, CASE WHEN ceil(({_LONGER}) / 4) <= 150 THEN {_LONGER} ELSE f.used END FROM f JOIN k ON k.session_id = f.session_id AND k.k = f.k + 1) SELECT session_id, pos FROM f WHERE fits""")
 def e06(spark: SparkSession, sf: str) -> DataFrame:
-    """A greedy fold; a test folds in Python."""
     rows = S.ledger(spark, sf).filter("kind = 'reflection'").select("session_id", "pos", F.repeat(F.lit("x"), F.col("tokens").cast("int")).alias("line"))
     return L.newest_fitting(rows, 150)
 

@@ -29,6 +29,7 @@ def context_tier(tokens: Column, low: int = 100_000, high: int = 200_000) -> Col
 def calibration(rows: DataFrame, estimate: str, usage: str, threshold: int, by: list[str]) -> DataFrame:
     """Per group: upper median of estimate / usage, fires by either measure, late and early ones, and churn."""
     est, use = F.col(estimate) >= threshold, F.col(usage) >= threshold
-    ratios = F.sort_array(F.collect_list(F.col(estimate) / F.col(usage)))
-    out = rows.groupBy(*by).agg(ratios.alias("r"), F.count_if(est).alias("est_fires"), F.count_if(use).alias("usage_fires"), F.count_if(use & ~est).alias("late"), F.count_if(est & ~use).alias("early"))
-    return out.select(*by, F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")).alias("median_ratio"), "est_fires", "usage_fires", "late", "early", F.when(F.col("est_fires") > 0, F.col("usage_fires") / F.col("est_fires")).alias("churn"))
+    # A little over a half takes the upper one of two middle values.
+    middle = F.expr(f"percentile_disc(0.500000001) WITHIN GROUP (ORDER BY {estimate} / {usage})")
+    out = rows.groupBy(*by).agg(middle.alias("median_ratio"), F.count_if(est).alias("est_fires"), F.count_if(use).alias("usage_fires"), F.count_if(use & ~est).alias("late"), F.count_if(est & ~use).alias("early"))
+    return out.select(*by, "median_ratio", "est_fires", "usage_fires", "late", "early", F.when(F.col("est_fires") > 0, F.col("usage_fires") / F.col("est_fires")).alias("churn"))

@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return S.spread(S.table(spark, sf, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _scalar(name: str, make: Callable[[], dict], sql: dict[str, str]) -> None:
@@ -318,7 +318,12 @@ def e04(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("e05_skip_budget")
+_MADE = _LEDGER.replace("ledger AS (", "ledger AS MATERIALIZED (")
+
+
+@query("e05_skip_budget", f"""WITH RECURSIVE {_MADE}, {_FIRST}, sc AS (SELECT *, tokens % 10 + CASE WHEN count(*) OVER p > 1 THEN (row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1) / (count(*) OVER p - 1) ELSE 1 END AS score FROM active WINDOW p AS (PARTITION BY session_id)),
+k AS MATERIALIZED (SELECT session_id, pos, tokens, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, pos) AS k FROM sc),
+f AS (SELECT session_id, k, pos, tokens <= 200 AS fits, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used FROM k WHERE k = 1 UNION ALL SELECT k.session_id, k.k, k.pos, f.used + k.tokens <= 200, f.used + CASE WHEN f.used + k.tokens <= 200 THEN k.tokens ELSE 0 END FROM f JOIN k ON k.session_id = f.session_id AND k.k = f.k + 1) SELECT session_id, pos FROM f WHERE fits""")
 def e05(spark: SparkSession, sf: str) -> DataFrame:
     scored = ledger.observation_scores(ledger.active(S.ledger(spark, sf)), F.col("tokens") % 10)
     return ledger.skip_budget(scored, 200)
@@ -371,7 +376,8 @@ def j03(spark: SparkSession, sf: str) -> DataFrame:
     return consolidation.pending(S.ledger(spark, sf), 100)
 
 
-@query("j06_token_windows")
+@query("j06_token_windows", f"""WITH RECURSIVE {_MADE}, f AS (SELECT session_id, pos, tokens AS held, tokens >= 500 AS fire, 0::BIGINT AS w FROM ledger WHERE pos = 0
+UNION ALL SELECT l.session_id, l.pos, CASE WHEN f.fire THEN 0 ELSE f.held END + l.tokens, CASE WHEN f.fire THEN 0 ELSE f.held END + l.tokens >= 500, f.w + f.fire::BIGINT FROM f JOIN ledger l ON l.session_id = f.session_id AND l.pos = f.pos + 1) SELECT session_id, w AS "window", pos AS last_pos, held AS tokens FROM f WHERE fire""")
 def j06(spark: SparkSession, sf: str) -> DataFrame:
     return consolidation.windows(S.ledger(spark, sf), 500)
 

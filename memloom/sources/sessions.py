@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores; nothing is shuffled of a large one."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = cores * int(spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    small = 0 < len(df.inputFiles()) < cores and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < most
+    return df.repartition(cores) if small else df
+
+
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 0, within the file), entry, ok: blank lines are passed over, malformed ones keep ok false."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
@@ -60,5 +69,5 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, id, content, session_id, relevance: documents as observations, tiers by their labels."""
     labels = table(spark, sf_dir, "labels")
     tier = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "high").when((F.col("quality") == 1) & (F.col("toxic") == 1), "critical").when(F.col("quality") == 0, "low").otherwise("medium")
-    docs = table(spark, sf_dir, "documents").withColumn("content", F.coalesce("text", F.lit("")))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("content", F.coalesce("text", F.lit("")))
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("ord"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 12).alias("id"), "content", F.col("source").alias("session_id"), tier.alias("relevance"))
