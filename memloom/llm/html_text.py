@@ -9,7 +9,8 @@ the content nodes holds, in page order, its headings, captions and other short b
 What ratios can't tell apart is settled by names. Text of menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments may read like an article's: an element that says so by its tag, role, or a class or id made of such words
 alone, is passed over, unless it holds most of the page's text. Where article or main elements hold half of the content
-nodes' text, the outermost of them that hold any take the place of the smallest element. A parent of the smallest element
+nodes' text, the outermost of them that hold any take the place of the smallest element. A paragraph, list item or other block
+of text gives way to what it stands in. A parent of the smallest element
 whose other blocks are all headings takes its place too.
 
 Defined cases: null and empty html give an empty text; unclosed and misplaced tags are repaired as far as paths need it,
@@ -43,6 +44,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 REGIONS = frozenset(("article", "main"))
+#: Elements that are a block of text, not a region.
+LEAVES = HEADINGS | frozenset("p li dt dd td th tr pre figcaption caption".split())
 #: Elements and roles of what isn't main text.
 ASIDE = frozenset("head nav header footer aside form button select option fieldset object canvas audio video dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
@@ -206,6 +209,8 @@ def _around(nodes: list[_Element], every: list[_Element]) -> _Element:
         near = next(e for e in at.up() if e.order in above)
         if near is not root:
             root, above = near, {e.order for e in near.up()}
+    while root.tag in LEAVES and root.parent is not None:
+        root = root.parent
     while root.parent is not None:
         more = [list(at.up()) for at in every]
         if not all(any(e.tag in HEADINGS for e in up) for up in more if root.parent in up and root not in up):
