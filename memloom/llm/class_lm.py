@@ -68,6 +68,8 @@ def exchange(pairs: np.ndarray, n_classes: int, passes: int | None = None, fixed
     grid = one.T @ after
     out, into = pairs.sum(axis=1), pairs.sum(axis=0)
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    # Less than this may be rounding; as every move raises the likelihood by more, no classes come twice and it ends.
+    least = max(1e-9, 1e-13 * float(f(pairs.sum())))
     while passes is None or passes > 0:
         passes, moved = passes and passes - 1, 0
         for i in free:
@@ -79,16 +81,17 @@ def exchange(pairs: np.ndarray, n_classes: int, passes: int | None = None, fixed
             grid[a] -= r
             grid[:, a] -= c
             grid[a, a] -= own
-            rows, cols = grid.sum(axis=1), grid.sum(axis=0)
+            # How often classes stand before and after any word, item i among them.
+            rows, cols = grid.sum(axis=1) + c, grid.sum(axis=0) + r
             # What joining class b adds to the likelihood.
-            new_rows, new_cols = grid + r, grid + c[:, None]
-            gain = (f(new_rows) - f(grid)).sum(axis=1) + (f(new_cols) - f(grid)).sum(axis=0)
+            now = f(grid)
+            gain = (f(grid + r) - now).sum(axis=1) + (f(grid + c[:, None]) - now).sum(axis=0)
             d = np.diagonal(grid)
             gain += f(d + r + c + own) - f(d + r) - f(d + c) + f(d)
             gain -= f(rows + out[i]) - f(rows) + f(cols + into[i]) - f(cols)
             gain[:fixed] = -np.inf
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = int(a)
             grid[b] += r
             grid[:, b] += c

@@ -272,6 +272,19 @@ def test_exchange_raises_the_likelihood_pass_by_pass():
     assert found == sorted(found) and found[0] < found[1]
 
 
+def test_exchange_ends_where_no_move_raises_the_likelihood():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        pairs = rng.poisson(rng.dirichlet(np.full(30, 0.3), size=30) * rng.pareto(1, (30, 1)) * 60).astype(float)
+        cls = class_lm.exchange(pairs, 5)
+        least = class_lm.likelihood(pairs, cls)
+        for i in range(class_lm.FIXED, 30):
+            for b in range(class_lm.FIXED, class_lm.FIXED + 5):
+                moved = cls.copy()
+                moved[i] = b
+                assert class_lm.likelihood(pairs, moved) <= least + 1e-6
+
+
 def test_a_word_goes_where_it_adds_most():
     rng = np.random.default_rng(8)
     grid = rng.poisson(30, (6, 6)).astype(float)
