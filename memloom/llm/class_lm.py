@@ -41,7 +41,7 @@ from .common import crc_mod, cut, drop_cut, spread
 
 END = b"\n"  # no word has a line break
 SMOOTH = 0.1
-#: Partial counts that a task holds at most.
+#: Partial counts that a task holds at most; of neighbours not yet counted, ten times as many.
 HELD = 400_000
 #: Class numbers: of unknown words (while classes are sought, of words that have none yet), and of the end. The others follow.
 OPEN, LAST, FIXED = 0, 1, 2
@@ -202,6 +202,7 @@ class Numbers(dict):
         return n
 
     def forget(self) -> None:
+        self.clear()
         self.__init__(self.given)
 
 
@@ -250,7 +251,7 @@ def neighbours(texts: DataFrame, items: dict[bytes, int], classes: np.ndarray) -
                 known = np.where(at < 0, cls[np.maximum(-at, 0)], OPEN)
                 place = np.flatnonzero(at > 0)
                 parts.append(((at[place] - 1) * k + known[place - 1]) * k + known[place + 1])
-                if len(number.new) > HELD:
+                if len(number.new) > HELD or sum(map(len, parts)) > 10 * HELD:
                     yield from out()
         yield from out()
 

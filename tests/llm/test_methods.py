@@ -272,6 +272,27 @@ def test_exchange_raises_the_likelihood_pass_by_pass():
     assert found == sorted(found) and found[0] < found[1]
 
 
+def test_neighbours_of_words_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD", 3)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["the", "of", *(f"w{i}" for i in range(20))], k=6)) for _ in range(3000)]
+    items, classes = {b"the": 2, b"of": 3}, np.array([0, 1, 2, 3])
+    want = Counter()
+    for t in texts:
+        ws = t.encode().split()
+        at = [1, *(int(classes[items[w]]) if w in items else 0 for w in ws), 1]
+        for i, w in enumerate(ws):
+            if w not in items:
+                want[class_lm.word_key(w), "left", at[i]] += 1
+                want[class_lm.word_key(w), "right", at[i + 2]] += 1
+    got = Counter()
+    for r in class_lm.neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), items, classes).collect():
+        for side in ("left", "right"):
+            if r[side] >= 0:
+                got[r["key"], side, r[side]] += r["n"]
+    assert got == want
+
+
 def test_exchange_ends_where_no_move_raises_the_likelihood():
     for seed in range(4):
         rng = np.random.default_rng(seed)
