@@ -27,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,24 +67,34 @@ def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
 
 
+class Met(dict):
+    """Words met, numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Words:
     """Texts to term numbers and counts; of the words met, at most about KNOWN_WORDS are kept."""
 
     def __init__(self, terms: dict[str, int]) -> None:
-        self.terms, self.known = terms, {}
-        self.pairs = np.zeros((0, 2), np.int64)
+        self.terms, self.known = terms, Met()
+        self.pairs = np.zeros((0, 2), np.int32)
 
     def count(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         if len(self.known) >= KNOWN_WORDS:
-            self.known, self.pairs = {}, self.pairs[:0]
+            self.known, self.pairs = Met(), self.pairs[:0]
         split = [(t or "").lower().split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        found = [[self.terms.get(t, -1) for t in terms_of(w)] for w in new]
-        self.pairs = np.concatenate([self.pairs, np.array([(f + [-1, -1])[:2] for f in found], np.int64).reshape(-1, 2)])
+        before, number = len(self.known), self.known.__getitem__
+        ids = [np.fromiter(map(number, ws), np.int32, len(ws)) for ws in split]
+        # As terms_of has it.
+        get, bare = self.terms.get, [w.strip(EDGES) for w in islice(reversed(self.known), len(self.known) - before)]
+        found = np.array([[get(w, -1) for w in bare], [get(w[:START] + "*", -1) if len(w) > START else -1 for w in bare]], np.int32)
+        self.pairs = np.concatenate([self.pairs, found.T[::-1]])
         out = []
-        for ws in split:
-            terms = self.pairs[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].ravel()
+        for own in ids:
+            terms = self.pairs[own].ravel()
             terms, n = np.unique(terms[terms >= 0], return_counts=True)
             out.append((terms, n.astype(float)))
         return out
@@ -158,10 +169,11 @@ class Index:
     def _best(self, entry: np.ndarray, x: np.ndarray, block: np.ndarray, chosen: np.ndarray, base: np.ndarray, k: int, leave: int) -> list[tuple[int, float]]:
         inside = np.zeros(-(-len(base) // self.block), bool)
         inside[chosen] = True
-        held = inside[block]
+        held = np.flatnonzero(inside[block])
         entry, x = entry[held], x[held]
-        n = self.postings[entry + 1] - self.postings[entry]
-        at = spans(self.postings[entry], n)
+        first = self.postings[entry]
+        n = self.postings[entry + 1] - first
+        at = spans(first, n)
         sums = base + np.bincount(self.places[at], self.values[at] * np.repeat(x, n), minlength=len(base))
         sums *= np.repeat(inside, self.block)[: len(base)]
         if leave >= 0:

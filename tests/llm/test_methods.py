@@ -143,6 +143,18 @@ def test_votes_match_brute_force_cosines(spark, relevance):
     assert all(r.evidence for r in every)
 
 
+def test_words_met_in_bulk_are_counted_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 30)
+    rng = random.Random(4)
+    texts = ["", None, "!!", *(" ".join(rng.choices([f"{a}word{i}{b}" for i in range(25) for a in ("", "(") for b in ("", "ing!", ".")], k=30)) for _ in range(40))]
+    terms = {t: i for i, t in enumerate(sorted({t for x in texts[3:20] for t in toxicity.count_terms(x)}))}
+    words = toxicity.Words(terms)
+    for start in range(0, len(texts), 4):
+        for text, (own, n) in zip(texts[start : start + 4], words.count(texts[start : start + 4]), strict=True):
+            want = {terms[t]: c for t, c in toxicity.count_terms(text).items() if t in terms}
+            assert dict(zip(own.tolist(), n.tolist(), strict=True)) == want and own.tolist() == sorted(own.tolist())
+
+
 def test_toxicity_never_sees_what_it_may_not_learn_from(spark):
     _, df = toxic_table(spark)
     learn = F.col("doc_id") % 2 == 0
