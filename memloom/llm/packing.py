@@ -72,6 +72,35 @@ class Cuts:
                     low = self.encode([f.encode().lower().decode() for f in forms])
                     if low == self.encode(forms) and all(self.encode([f + e for f in forms]) == [x + ends[e] for x in low] for e in ",."):
                         self.stems.add(c)
+        self.last = self._last()
+
+    def _last(self) -> np.ndarray | None:
+        """Of each id, whether it ends a word, where the tokenizer marks that and no letter of `stems` hinders it."""
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not mark or any(self.stems.issuperset(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        each = [last[np.frombuffer(ids, "<u4")] for ids in self.encode(sorted(self.stems))]
+        return last if all(x.sum() == 1 and x[-1] for x in each) else None
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids. Words of letters of `stems` are encoded many at once and told apart by the ids that end a word."""
+        texts = [w.decode() for w in words]
+        out: dict[str, bytes] = {}
+        if self.last is not None:
+            plain = [t for t in texts if t and self.stems.issuperset(t)]
+            groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+            for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+                ends = 4 * (np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1)
+                # Each word has one such id at least, so as many as words are one each.
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    ends = ends.tolist()
+                    out.update(zip(group, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = [t for t in texts if t not in out]
+        out.update(zip(rest, self.encode(rest), strict=True))
+        return [out[t] for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
@@ -101,10 +130,12 @@ class Cuts:
         stems = list({p for parts in whole.values() for p in parts}.difference(known))
         for i in range(0, len(stems), 20_000):
             some = stems[i : i + 20_000]
-            known.update(zip(some, self.encode([w.decode() for w in some]), strict=True))
+            known.update(zip(some, self.encode_words(some), strict=True))
         for w, parts in whole.items():
-            if len(parts) > 1 or parts[0] is not w:
+            if len(parts) > 1:
                 known[w] = b"".join([known[p] for p in parts])
+            elif parts[0] is not w:
+                known[w] = known[parts[0]]
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 

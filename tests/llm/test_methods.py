@@ -345,6 +345,19 @@ def test_a_word_goes_where_it_adds_most():
 # --- packing, mixing, archives ----------------------------------------------------------------------------------------
 
 
+def test_letter_words_are_encoded_many_at_once(monkeypatch):
+    cuts, given = packing.Cuts(queries.tokenizer_path()), []
+    one, whole = cuts.tokenizer, cuts.encode
+    monkeypatch.setattr(cuts, "encode", lambda texts: given.extend(texts) or whole(texts))
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgho\u00e9\u00fc\u00f1", k=rng.randrange(1, 14))) for _ in range(3000)]
+    odd = ["it's", "x1", "<|endoftext|>", "e\u0301t", "\u4e2d", "a,b", "end.", "LAST,", "\u0130", "\u00df"]
+    for texts in ([" ".join(words)], [" ".join(rng.sample(odd + words[:50], 40)) for _ in range(20)], ["", "a"]):
+        got = cuts.ids([t.encode() for t in texts])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [one.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(given) < 100
+
+
 def brute_best_fit(lengths, limits):
     bins = []
     scale, w = (limits.max_tokens, limits.max_docs, limits.max_cost), limits.weights
