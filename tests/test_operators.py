@@ -3,11 +3,12 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from memloom import queries
 from memloom.functions import text as T
-from memloom.operators import blocks, graph, ledger, search
+from memloom.operators import blocks, corpus, graph, ledger, search
 from memloom.sources import sessions
 from memloom.streaming import consolidation
 
@@ -189,3 +190,41 @@ def test_similar_keys_match_all_pairs(spark, tmp_path):
     assert 5 < len(close) < len(near)
     assert {(r.a, r.b): r.jaccard for r in queries.QUERIES["h14_key_jaccard"](spark, str(tmp_path)).collect()} == near
     assert {(r.a, r.b): r.similarity for r in queries.QUERIES["h13_key_levenshtein"](spark, str(tmp_path)).collect()} == close
+
+
+def test_similar_keys_of_many_blocks_write_no_candidates(spark, monkeypatch):
+    rng = random.Random(5)
+    keys = ["ab", "a" * 600, "a" * 599]
+    for _ in range(60):
+        base = [rng.choice("abcdefghijklmnop ") for _ in range(rng.choice([30, 120, 300]))]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.randrange(1, 2 + len(own) // 9)):
+                own[rng.randrange(len(own))] = rng.choice("xyz")
+            keys.append(" ".join("".join(own).split()))
+    keys = dict(enumerate(dict.fromkeys(keys)))
+    near, close = {}, {}
+    for i, k in keys.items():
+        for j, m in keys.items():
+            if i < j and abs(len(k) - len(m)) <= (1 - 0.88) * max(len(k), len(m)):
+                x, y = ({s[p : p + 2] for p in range(len(s) - 1)} for s in (k, m))
+                if len(x & y) / len(x | y) >= 0.73:
+                    near[i, j] = len(x & y) / len(x | y)
+                    if (similarity := 1 - edits(k, m) / max(len(k), len(m))) >= 0.88:
+                        close[i, j] = similarity
+    assert 5 < len(close) < len(near)
+    rows = []
+
+    def written(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    kept = graph._written
+    monkeypatch.setattr(graph, "_written", written)
+    table = spark.createDataFrame(list(keys.items()), "id long, key string")
+    for block in (11, 100, 10_000):
+        monkeypatch.setattr(corpus, "BLOCK", block, raising=False)
+        assert {(r.a, r.b): r.jaccard for r in corpus.similar_keys(table).collect()} == near
+    assert max(rows) <= len(keys)
+    assert {(r.a, r.b): r.similarity for r in corpus.similar_keys(table, edits=True).collect()} == pytest.approx(close)
