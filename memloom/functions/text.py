@@ -147,9 +147,12 @@ def preset_ratio(window: Column, anchors: list[tuple[int, float]]) -> Column:
 
 
 def compact_threshold(window: Column, tokens: Column, ratio: Column, reserve: Column, anchors: list[tuple[int, float]]) -> Column:
-    """Fixed tokens, then a ratio of the window, then a reserve, then the preset curve: the first that is valid."""
+    """Fixed tokens, then a ratio of the window, then a reserve, then the preset curve: the first that is valid.
+
+    The curve's product is rounded before it is cut, since an exact whole number may lie just below itself as a double.
+    """
     at_least = lambda c: F.greatest(F.lit(1), c).cast("long")
-    return F.when(tokens > 0, tokens).when((ratio > 0) & (ratio <= 1), at_least(F.floor(window * ratio))).when(reserve > 0, at_least(window - reserve)).otherwise(at_least(F.floor(window * preset_ratio(window, anchors))))
+    return F.when(tokens > 0, tokens).when((ratio > 0) & (ratio <= 1), at_least(F.floor(window * ratio))).when(reserve > 0, at_least(window - reserve)).otherwise(at_least(F.floor(F.round(window * preset_ratio(window, anchors), 6))))
 
 
 def chain_decision(append_chain: Column, append_total: Column, saving: Column, window: Column, reserve: Column, manual: Column, overflow: Column) -> Column:

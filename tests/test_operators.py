@@ -228,3 +228,11 @@ def test_similar_keys_of_many_blocks_write_no_candidates(spark, monkeypatch):
         assert {(r.a, r.b): r.jaccard for r in corpus.similar_keys(table).collect()} == near
     assert max(rows) <= len(keys)
     assert {(r.a, r.b): r.similarity for r in corpus.similar_keys(table, edits=True).collect()} == pytest.approx(close)
+
+
+def test_thresholds_on_the_curve_are_whole_where_the_product_is(spark):
+    none, anchors = F.lit(0), [(100_000, 0.8), (200_000, 0.65), (1_000_000, 0.3)]
+    windows = spark.createDataFrame([(452_000,), (452_001,), (100_000,), (1,), (2_000_000,)], "w long")
+    got = windows.select("w", T.compact_threshold(F.col("w"), none, none, none, anchors).alias("t")).collect()
+    # 452,000 by 0.53975 is 243,967; as doubles the product lies below.
+    assert {r.w: r.t for r in got} == {452_000: 243_967, 452_001: 243_967, 100_000: 80_000, 1: 1, 2_000_000: 600_000}
