@@ -235,7 +235,9 @@ def technical_density(text: Column) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / (1024.0 * 1024.0)))
+    """To one digit, halves to the even one as printf has it; format_string alone rounds them up."""
+    said = lambda size, unit: F.format_string(f"%.1f {unit}", F.bround(size, 1))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, said(n / 1024.0, "KB")).otherwise(said(n / (1024.0 * 1024.0), "MB"))
 
 
 def file_age(seconds: Column) -> Column:

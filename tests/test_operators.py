@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom import queries
+from memloom.functions import rules as R
 from memloom.functions import text as T
 from memloom.operators import blocks, corpus, graph, ledger, search
 from memloom.sources import sessions
@@ -236,3 +237,9 @@ def test_thresholds_on_the_curve_are_whole_where_the_product_is(spark):
     got = windows.select("w", T.compact_threshold(F.col("w"), none, none, none, anchors).alias("t")).collect()
     # 452,000 by 0.53975 is 243,967; as doubles the product lies below.
     assert {r.w: r.t for r in got} == {452_000: 243_967, 452_001: 243_967, 100_000: 80_000, 1: 1, 2_000_000: 600_000}
+
+
+def test_halves_of_sizes_go_to_the_even_digit(spark):
+    sizes = {1023: "1023 B", 1280: "1.2 KB", 1281: "1.3 KB", 1792: "1.8 KB", 1024 * 1024 - 1: "1024.0 KB", 51 * 2**20 + 2**18: "51.2 MB", 51 * 2**20 + 2**18 + 1: "51.3 MB", 51 * 2**20 + 3 * 2**18: "51.8 MB"}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert {r.n: r.size for r in rows.select("n", R.file_size(F.col("n")).alias("size")).collect()} == sizes
