@@ -147,7 +147,7 @@ _ERR = r"""CASE WHEN regexp_matches(text, '(?i)unauthorized|HTTP\s+40[014]\b|sta
  THEN 'deterministic' WHEN regexp_matches(text, '(?i)""" + T.RETRYABLE + "') THEN 'retryable' ELSE 'other' END"
 _scalar("h30_error_class", lambda: {"class": T.error_class(F.col("text"))}, {"class": _ERR})
 _BIG = "list_distinct(list_transform(range(1, greatest(length(text), 1)), lambda i: substr(text, i, 2)))"
-_scalar("h14_bigrams", lambda: {"n_bigrams": F.size(T.bigrams(F.col("text"))).cast("long")}, {"n_bigrams": f"len({_BIG})"})
+_scalar("h14_bigrams", lambda: {"n_bigrams": T.n_bigrams(F.col("text"))}, {"n_bigrams": f"len({_BIG})"})
 
 
 @query("h13_levenshtein", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(CASE WHEN a.n_name = b.n_name THEN 1 ELSE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) END, 6) AS similarity FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey")

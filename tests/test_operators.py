@@ -243,3 +243,11 @@ def test_halves_of_sizes_go_to_the_even_digit(spark):
     sizes = {1023: "1023 B", 1280: "1.2 KB", 1281: "1.3 KB", 1792: "1.8 KB", 1024 * 1024 - 1: "1024.0 KB", 51 * 2**20 + 2**18: "51.2 MB", 51 * 2**20 + 2**18 + 1: "51.3 MB", 51 * 2**20 + 3 * 2**18: "51.8 MB"}
     rows = spark.createDataFrame([(n,) for n in sizes], "n long")
     assert {r.n: r.size for r in rows.select("n", R.file_size(F.col("n")).alias("size")).collect()} == sizes
+
+
+def test_bigrams_of_many_alphabets_are_counted_in_arrays(spark):
+    rng = random.Random(6)
+    texts = ["", "a", "aa", "aaa", "ab\nab", "日本語日本", "😀😀a😀😀", "éé", "abc" * 30_000, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(9_000)), "".join(rng.choice("ab ") for _ in range(50))]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i long, text string").select("i", T.n_bigrams(F.col("text")).alias("n"))
+    assert "zip_with" not in rows._jdf.queryExecution().toString()
+    assert {r.i: r.n for r in rows.collect()} == {**{i: len({t[k : k + 2] for k in range(len(t) - 1)}) for i, t in enumerate(texts)}, 99: 0}
