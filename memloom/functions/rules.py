@@ -40,6 +40,16 @@ TECHNICAL = (
     (r"\b(?:REACT_APP_|NEXT_PUBLIC_|VITE_|DATABASE_|NODE_|AWS_|DOCKER_|KUBE_|PI_|PI_BLACKHOLE_)[A-Z0-9_]+\b|\b[A-Z][A-Z0-9_]{3,}\b|\b(?:--[a-z0-9_-]+(?:=[^\s]+)?|-[a-zA-Z]{1,3})\b|\b(?:npm|pnpm|yarn|bun|cargo|go|rustc|docker|kubectl|git|make|pytest|pip|uv)\s+[a-z0-9_-]+", 1.5),
     (r"(?i)\b[A-Z]\w*(?:Exception|Error|Fault|Failure|Panic|SIGSEGV|SIGTERM|ECONNREFUSED|ETIMEDOUT|ENOTFOUND)\b|\b[a-f0-9]{7,40}\b|\bv?\d+\.\d+\.\d+(?:-[a-zA-Z0-9_.-]+)?\b", 1.0),
 )
+# The same families for Java: a boundary is looked at from one side where the other is known and once for alternatives that share
+# it, and runs that can't end earlier are not given back. Alternatives that another one of the same family covers are left out.
+_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+TECHNICAL_JAVA = (
+    rf"(?i){_EDGE}(?:[\w.-]++[\\/][\w.-]+(?:\.(?:{_FILES}))?{_EDGE}|(?=\w*+[.-])[\w.-]+\.(?:{_FILES})(?!\w)|(?:(?:Docker|Container|Make|Vagrant|Proc)file|(?=\w*+\.)(?:package\.json|Cargo\.toml|go\.mod|requirements\.txt|pyproject\.toml|pom\.xml|build\.gradle|\.gitignore|\.dockerignore|\.env(?:\.[\w-]+)?)){_EDGE})",
+    r"(?<!\w)(?:[a-zA-Z_]\w*+(?:\(\)|(?:::|->|\.)[a-zA-Z_]\w*+)|[a-z]++[A-Z]\w*+|[A-Z][a-z]++[A-Z]\w*+|(?:Array|Option|Result|Map|Set|Promise|Vec|List|HashMap)<[\w\s,<>]+>)|@\w++(?:\([^)]*\))?|#\[\w++(?:\([^)]*\))?\]",
+    r"(?i)(?<!\w)(?:(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s++\/[/\w:.-]*+|[1-5]\d{2}\s++(?:OK|Created|Accepted|No Content|Bad Request|Unauthorized|Forbidden|Not Found|Conflict|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable)(?!\w))|\/(?:api|v[0-9]+|auth|users|healthz|metrics|ws|graphql)[/\w:.-]*+",
+    rf"(?<!\w)(?:[A-Z][A-Z0-9_]{{3,}}+(?!\w)|(?:npm|pnpm|yarn|bun|cargo|go|rustc|docker|kubectl|git|make|pytest|pip|uv)\s++[a-z0-9_-]++)|-(?<=\w-)(?:-[a-z0-9_-]+(?:=[^\s]+)?|[a-zA-Z]{{1,3}}){_EDGE}",
+    rf"(?i)(?<!\w)(?:[A-Z]\w*+(?<=on|or|lt|re|ic|gv|rm|ed|ut|nd)(?<=\w(?:Exception|Error|Fault|Failure|Panic|SIGSEGV|SIGTERM|ECONNREFUSED|ETIMEDOUT|ENOTFOUND))|[a-f0-9]{{7,40}}+(?!\w)|v?\d++\.\d++\.\d+(?:-[a-zA-Z0-9_.-]+)?{_EDGE})",
+)
 # Drop limits of an observation pool, and the budget rules of recall answers.
 DROP_SKIP, DROP_LOW, DROP_MEDIUM, DROP_MIN_RATIO, DROP_MAX_RATIO = 0.1, 0.3, 0.6, 0.1, 0.5
 EXPAND_FLOOR, EXPAND_OVERHEAD = 2_000, 200
@@ -230,7 +240,7 @@ def line_snippet(text: Column, pattern: str, around: int = 2, most: int = 1000)
 
 
 def technical_density(text: Column) -> Column:
-    found = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(java(p))) * F.lit(w) for p, w in TECHNICAL])
+    found = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) * F.lit(w) for p, (_, w) in zip(TECHNICAL_JAVA, TECHNICAL, strict=True)])
     return 1 + 0.12 * F.log2(1 + found)
 
 

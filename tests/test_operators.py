@@ -251,3 +251,13 @@ def test_bigrams_of_many_alphabets_are_counted_in_arrays(spark):
     rows = spark.createDataFrame([*enumerate(texts), (99, None)], "i long, text string").select("i", T.n_bigrams(F.col("text")).alias("n"))
     assert "zip_with" not in rows._jdf.queryExecution().toString()
     assert {r.i: r.n for r in rows.collect()} == {**{i: len({t[k : k + 2] for k in range(len(t) - 1)}) for i, t in enumerate(texts)}, 99: 0}
+
+
+def test_technical_patterns_for_java_find_the_same_and_share_boundaries(spark):
+    rng = random.Random(7)
+    parts = ["src", "/", ".", "-", "--", "ts", "go.mod", ".env", "Dockerfile", "foo", "fooBar", "FOO_BAR", "PI_A", "()", "(x)", "::", "->", "Map<", "a, b", ">", "@dec", "#[", "]", "GET", " ", "\n", "/api", "404", "Not Found", "npm", "go", "=", "IOError", "Error", "default", "0a1b2c3d", "v1.2.3", "1.2", "é", "日", "x", "1", "_", "toml", ":"]
+    texts = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))),) for _ in range(5_000)], "text string")
+    both = [F.struct(F.regexp_count("text", F.lit(R.java(p))).alias("a"), F.regexp_count("text", F.lit(j)).alias("b")).alias(f"p{i}") for i, ((p, _), j) in enumerate(zip(R.TECHNICAL, R.TECHNICAL_JAVA, strict=True))]
+    rows = texts.select(*both).collect()
+    assert all(r[i].a == r[i].b for r in rows for i in range(len(both)))
+    assert all(sum(r[i].a for r in rows) > 500 for i in range(len(both)))
